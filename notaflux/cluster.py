@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +25,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and go on from the files.
+    """Write ``df`` once as a compressed table in the shared folder and go on from the files.
 
     Used where a Python stage is read by several branches: without the cut each branch would run it again.
-    The copy is in shared storage, so the loss of an executor loses nothing.
+    The files are in shared storage, so the loss of an executor loses nothing; they go when the driver ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/notaflux-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    if len(_written) == 1:
+        atexit.register(_drop_written, spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _drop_written(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while _written:
+            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may have ended first
+        _written.clear()
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
