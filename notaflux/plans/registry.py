@@ -1,4 +1,31 @@
 """The registered queries of the core."""
 
-def queries(): return {}
-def oracle_sql(): return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from notaflux.operators import units
+from notaflux.sources.tables import table
+
+
+def _common(spark: SparkSession, root: str) -> DataFrame:
+    records = units.records_of(table(spark, root, "clinical_entities"), table(spark, root, "observations"))
+    return units.to_common_units(records, table(spark, root, "quantities"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return _common(spark, root).where("solution = 'unique'").select("source_table", "record_id", "quantity_id", "scaled_value")
+
+
+def p5_common_units(spark: SparkSession, root: str) -> DataFrame:
+    return _common(spark, root)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p5_found, p5_common_units)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
