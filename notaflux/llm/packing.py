@@ -72,6 +72,27 @@ def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", dire
     return texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).mapInArrow(count, "key bigint, tokens int")
 
 
+def _meeting(capacity: int, limit: int):
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Small bins into the fullest bins that take them; what can still meet others goes on, moves come out."""
+        pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True]).reset_index(drop=True)
+        fill, name, moves = pdf.fill.to_numpy().copy(), pdf.bin.to_numpy(), []
+        alive = np.ones(len(pdf), bool)
+        for i in np.nonzero(fill * 2 <= capacity)[0][::-1]:
+            room = np.nonzero(alive & (fill + fill[i] <= capacity) & (np.arange(len(fill)) != i))[0]
+            if len(room):
+                to = room[np.argmax(fill[room])]
+                fill[to] += fill[i]
+                alive[i] = False
+                moves.append((name[i], name[to]))
+        node = int(pdf.node.iloc[0])
+        out = pd.DataFrame({"bin": name, "fill": fill, "node": node, "into": ""})[alive]
+        out = out.groupby("fill", sort=False).head(limit)  # of one fill no more can receive than nodes are left
+        return pd.concat([out, pd.DataFrame({"bin": [a for a, _ in moves], "fill": 0, "node": node, "into": [b for _, b in moves]})])[["bin", "fill", "node", "into"]]
+
+    return meet
+
+
 def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.995, fan_in: int = 8, key: str = "key", size: str = "tokens") -> DataFrame:
     """(key, piece, pieces, size, bin, fill): the container of every piece, and what the container holds in all.
 
@@ -105,26 +126,8 @@ def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.995, fan_in: in
     moved: DataFrame | None = None
     width = nodes
     while width > 1:
-        limit = width
-
-        def meet(pdf: pd.DataFrame, limit: int = limit) -> pd.DataFrame:
-            """Small bins into the fullest bins that take them; what can still meet others goes on, moves come out."""
-            pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True]).reset_index(drop=True)
-            fill, name, moves = pdf.fill.to_numpy().copy(), pdf.bin.to_numpy(), []
-            alive = np.ones(len(pdf), bool)
-            for i in np.nonzero(fill * 2 <= capacity)[0][::-1]:
-                room = np.nonzero(alive & (fill + fill[i] <= capacity) & (np.arange(len(fill)) != i))[0]
-                if len(room):
-                    to = room[np.argmax(fill[room])]
-                    fill[to] += fill[i]
-                    alive[i] = False
-                    moves.append((name[i], name[to]))
-            out = pd.DataFrame({"bin": name, "fill": fill, "node": pdf.node.iloc[0], "into": ""})[alive]
-            out = out.groupby("fill", sort=False).head(limit)  # of one fill no more can receive than nodes are left
-            gone = pd.DataFrame(moves, columns=["bin", "into"]).assign(fill=0, node=int(pdf.node.iloc[0]))
-            return pd.concat([out, gone])[["bin", "fill", "node", "into"]]
-
-        level = cut(bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).groupBy("node").applyInPandas(meet, "bin string, fill int, node int, into string"))
+        level = cut(bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).groupBy("node").applyInPandas(
+            _meeting(capacity, width), "bin string, fill int, node int, into string"))
         gone = level.where("into <> ''").select("bin", "into")
         moved = gone if moved is None else moved.unionByName(gone)
         bins = level.where("into = ''")
