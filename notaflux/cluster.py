@@ -52,6 +52,15 @@ def _drop_written(spark: SparkSession) -> None:
         _written.clear()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: for a small file that a heavy stage follows.
+
+    Tables of more files than cores are left as they are, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Lower the Arrow batch size for columns of whole documents, unless the session has set its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word characters and white space as the rules of the notes understand them: all scripts, all kinds of numbers.
@@ -67,3 +67,12 @@ def spans(text: Column, pattern: str) -> Column:
     found = F.transform(F.filter(pieces(text, pattern), lambda p: p.matched), lambda p: F.struct(
         F.substring(text, p.start + 1, F.length(p.part)).alias("text"), p.start.alias("start"), (p.start + F.length(p.part)).alias("end")))
     return F.coalesce(found, F.array().cast("array<struct<text:string,start:int,end:int>>"))
+
+
+def exploded(df: DataFrame, key: str, items: Column, no: str = "no") -> DataFrame:
+    """(key, no, x): a row for each item of an array.
+
+    The outer form keeps the optimizer from inferring a filter on the array, which it would push down by computing the
+    whole chain of expressions a second time.
+    """
+    return df.select(key, F.posexplode_outer(items).alias(no, "x")).where(F.col(no).isNotNull())

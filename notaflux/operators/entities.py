@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
 from notaflux.functions.patterns import DOSAGES, LABS
-from notaflux.functions.spans import EDGE, WORD, spans
+from notaflux.functions.spans import EDGE, WORD, exploded, spans
 from notaflux.functions.vocab import DEFAULT_COLOR, ENTITY_TYPES, Gazetteers
 
 ENTITY = "struct<text:string,entity_type:string,start:int,end:int,confidence:double,source:string,metadata:map<string,string>>"
@@ -86,8 +86,8 @@ def with_entities(notes: DataFrame, text: str = "text", conf: EngineConf | None
 
 def entity_rows(with_entities: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, entity_no, text, entity_type, start_pos, end_pos, confidence, source): the entities as a table."""
-    rows = with_entities.select(key, F.posexplode("entities").alias("entity_no", "e"))
-    return rows.select(key, "entity_no", "e.text", "e.entity_type", F.col("e.start").alias("start_pos"), F.col("e.end").alias("end_pos"), "e.confidence", "e.source")
+    rows = exploded(with_entities, key, F.col("entities"), "entity_no")
+    return rows.select(key, "entity_no", "x.text", "x.entity_type", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), "x.confidence", "x.source")
 
 
 def gazetteer_join(notes: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notaflux.functions.patterns import SENTENCE_BREAK, TOKEN_CLASSES
-from notaflux.functions.spans import SPACE, let, pieces, starts, strip, without_marks
+from notaflux.functions.spans import SPACE, exploded, let, pieces, starts, strip, without_marks
 
 TOKEN = "struct<text:string,start:int,end:int,token_type:string>"
 _SCAN = "|".join(f"({p})" for _, p in TOKEN_CLASSES)
@@ -51,11 +51,11 @@ def sentences(text: Column, with_tokens: bool = False) -> Column:
 
 def token_rows(notes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token_no, token, start, end, token_type)."""
-    rows = notes.select(key, F.posexplode(tokens(F.col(text))).alias("token_no", "t"))
-    return rows.select(key, "token_no", F.col("t.text").alias("token"), F.col("t.start").alias("start_pos"), F.col("t.end").alias("end_pos"), "t.token_type")
+    rows = exploded(notes, key, tokens(F.col(text)), "token_no")
+    return rows.select(key, "token_no", F.col("x.text").alias("token"), F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), "x.token_type")
 
 
 def sentence_rows(notes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sentence_no, sentence, start, end)."""
-    rows = notes.select(key, F.posexplode(sentences(F.col(text))).alias("sentence_no", "s"))
-    return rows.select(key, "sentence_no", F.col("s.text").alias("sentence"), F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"))
+    rows = exploded(notes, key, sentences(F.col(text)), "sentence_no")
+    return rows.select(key, "sentence_no", F.col("x.text").alias("sentence"), F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"))
