@@ -123,7 +123,7 @@ def entities_top(spark: SparkSession, root: str) -> DataFrame:
 
 
 def entity_stats(spark: SparkSession, root: str) -> DataFrame:
-    s = _entities(spark, root).select("note_id", entities.stats(F.col("entities")).alias("s")).where("s.total > 0")
+    s = _entities(spark, root).select("note_id", entities.stats(F.col("entities")).alias("s"))
     return s.select("note_id", F.col("s.total").alias("total"), *[F.col("s.by_type").getItem(k).alias(k.lower()) for k, *_ in ENTITY_TYPES], F.round("s.avg_confidence", 6).alias("avg_confidence"))
 
 
@@ -161,7 +161,7 @@ def summary_json(spark: SparkSession, root: str) -> DataFrame:
 
 
 def prompt_lines(spark: SparkSession, root: str) -> DataFrame:
-    return _related(spark, root).where(F.size("entities") > 0).select("note_id", summaries.entity_lines(F.col("entities"), F.col("relations")).alias("lines"))
+    return _related(spark, root).select("note_id", summaries.entity_lines(F.col("entities"), F.col("relations")).alias("lines"))
 
 
 def prompt_text(spark: SparkSession, root: str) -> DataFrame:
