@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from notaflux.cluster import cut
 from notaflux.functions.folding import fold_accents
 
 # Remarks that people write around a value, folded.
@@ -55,42 +56,43 @@ def match_list(
     from which it may be accepted by edit distance, at most ``edits`` of its letters (two at least).
     """
     listed = entries.select(F.col(group).alias("g"), F.col(entry_id).alias("id"), normalised(F.col(entry)).alias("name")).where("g is not null and name <> ''").dropDuplicates(["g", "id"])
-    posted = listed.select("g", "id", "name", F.explode(grams(F.col("name"))).alias("gram"))
-    sizes = listed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rarity = posted.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df")).join(sizes, "g").select("g", "gram", F.pow(F.log(1 + F.col("n") / F.col("df")), F.lit(2)).alias("w2"))
-    weighed = posted.join(rarity, ["g", "gram"])
-    norms = weighed.groupBy("g", "id").agg(F.sqrt(F.sum("w2")).alias("entry_norm"))
-    index = weighed.join(norms, ["g", "id"]).select("g", "gram", "id", "name", "w2", "entry_norm")
+    index, unseen = _index(listed)
 
     distinct = values.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("raw")).distinct()
-    cleaned = distinct.withColumn("v", without_remarks(normalised(F.col("raw"))))
-    unique = cleaned.where("v <> ''").select("g", "v").distinct()
-    unseen = sizes.select("g", F.pow(F.log(1 + F.col("n")), F.lit(2)).alias("unseen"))
-    cut = unique.select("g", "v", F.explode(grams(F.col("v"))).alias("gram"))
-    hits = cut.join(rarity, ["g", "gram"], "left").join(unseen, "g")
-    value_norms = hits.groupBy("g", "v").agg(F.sqrt(F.sum(F.coalesce("w2", "unseen"))).alias("value_norm"))
-    scored = (
-        cut.join(index, ["g", "gram"]).groupBy("g", "v", "id", "name", "entry_norm").agg(F.sum("w2").alias("dot"))
-        .join(value_norms, ["g", "v"]).withColumn("score", F.col("dot") / (F.col("entry_norm") * F.col("value_norm")))
-    )
+    cleaned = cut(distinct.withColumn("v", without_remarks(normalised(F.col("raw")))))
+    grammed = cleaned.where("v <> ''").select("g", "v").distinct().select("g", "v", F.explode(grams(F.col("v"))).alias("gram"))
+    hits = grammed.join(index, ["g", "gram"], "left").join(unseen, "g")
+    norms = hits.groupBy("g", "v").agg(F.sqrt(F.sum(F.coalesce("w2", "unseen"))).alias("value_norm"))
+    dots = hits.where("w2 is not null").select("g", "v", "w2", F.explode("posted").alias("p")).groupBy("g", "v", "p").agg(F.sum("w2").alias("dot"))
+    scored = dots.join(norms, ["g", "v"]).select("g", "v", F.col("p.id").alias("id"), F.col("p.name").alias("name"), F.round(F.col("dot") / (F.col("p.norm") * F.col("value_norm")), 9).alias("score"))
     near = scored.withColumn("top", F.max("score").over(W.partitionBy("g", "v"))).where((F.col("score") >= least) & (F.col("score") >= F.col("top") - margin))
     letters = lambda c: F.regexp_replace(c, " ", "")
     ordered = lambda c: F.array_join(F.array_sort(F.split(c, " ")), "")
     edited = F.least(F.levenshtein(letters(F.col("v")), letters(F.col("name"))), F.levenshtein(ordered(F.col("v")), ordered(F.col("name"))))
-    judged = near.withColumn("edits", edited)
-    best = judged.groupBy("g", "v").agg(
-        F.min(F.struct(F.col("edits"), (-F.col("score")).alias("minus"), "id", "name")).alias("by_edits"),
-        F.max(F.struct(F.col("score"), (-F.col("edits")).alias("minus"), (-F.col("id")).alias("minus_id"))).alias("by_score"),
+    minus = (-F.col("score")).alias("minus")
+    best = near.withColumn("edits", edited).groupBy("g", "v").agg(
+        F.min(F.struct("edits", minus, "id", "name")).alias("closest"),
+        F.min(F.struct("edits", minus, (-F.col("id")).alias("other"))).alias("last"),
+        F.min(F.struct(minus, "edits", "id")).alias("top"),
         F.count(F.lit(1)).alias("near"),
     )
-    ties = judged.join(best.where("near > 1").select("g", "v", "by_edits"), ["g", "v"]).where(
-        "edits = by_edits.edits and abs(score + by_edits.minus) < 1e-9").groupBy("g", "v").agg(F.count(F.lit(1)).alias("equal")).where("equal > 1")
-    few = F.col("by_edits.edits") <= F.greatest(F.lit(2), F.floor(F.length(letters(F.col("by_edits.name"))) * edits))
-    clear = (F.col("by_score.score") >= threshold) & (F.col("near") == 1)
-    chosen = (
-        best.join(ties, ["g", "v"], "left")
-        .withColumn("id", F.when(F.col("equal").isNotNull(), None).when(clear | few, F.col("by_edits.id")).when(F.col("by_score.score") >= threshold, -F.col("by_score.minus_id")))
-        .select("g", "v", "id", F.col("by_score.score").alias("score"), F.col("by_edits.edits").alias("edits"), F.col("near").alias("candidates"))
-    )
+    tie = F.col("closest.id") != -F.col("last.other")
+    few = F.col("closest.edits") <= F.greatest(F.lit(2), F.floor(F.length(letters(F.col("closest.name"))) * edits))
+    high = -F.col("top.minus") >= threshold
+    chosen = best.select(
+        "g", "v", F.when(tie, None).when(few | high & (F.col("near") == 1), F.col("closest.id")).when(high, F.col("top.id")).alias("id"),
+        (-F.col("top.minus")).alias("score"), F.col("closest.edits").alias("edits"), F.col("near").alias("candidates"))
     return cleaned.join(chosen, ["g", "v"], "left").select(
         F.col("g").alias(group), F.col("raw").alias(value), F.col("id").alias(entry_id), "score", "edits", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def _index(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inverted index (g, gram, w2, posted: [(id, name, norm)]), written once, and (g, unseen): the weight of a gram
+    that no entry of the group holds."""
+    sizes = listed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    posted = listed.select("g", "id", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    rarity = posted.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("df")).join(sizes, "g").select("g", "gram", F.pow(F.log(1 + F.col("n") / F.col("df")), F.lit(2)).alias("w2"))
+    weighed = cut(posted.join(rarity, ["g", "gram"]))
+    norms = weighed.groupBy("g", "id").agg(F.sqrt(F.sum("w2")).alias("norm"))
+    index = weighed.join(norms, ["g", "id"]).groupBy("g", "gram", "w2").agg(F.collect_list(F.struct("id", "name", "norm")).alias("posted"))
+    return cut(index), cut(sizes.select("g", F.pow(F.log(1 + F.col("n")), F.lit(2)).alias("unseen")))

@@ -58,10 +58,10 @@ def p3_sanitised(spark: SparkSession, root: str) -> DataFrame:
 
 def _matched(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     listed = table(spark, root, "reference_terms")
-    free = table(spark, root, "clinical_entities").where(F.col("entity_type").isin(*LISTED) & F.col("text").isNotNull()).select("entity_id", "text", "entity_type").dropDuplicates(["entity_id"])
+    typed = table(spark, root, "clinical_entities").where(F.col("entity_type").isin(*LISTED) & F.col("text").isNotNull()).select("entity_id", "text", "entity_type")
     exact = listed.select("entity_type", F.col("term").alias("text"))
-    free = free.join(exact, ["entity_type", "text"], "left_anti")
-    return free, listed, canonical_list.match_list(free, listed)
+    free = typed.join(exact, ["entity_type", "text"], "left_anti")
+    return free.dropDuplicates(["entity_id"]), listed, canonical_list.match_list(free, listed)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
