@@ -19,6 +19,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notaflux.cluster import cut
 from notaflux.functions.folding import fold_accents
 from notaflux.sources.tables import once
 
@@ -95,7 +96,7 @@ def stated(records: DataFrame, quantities: DataFrame, implied: str = "implied")
     alias_re = rf"(?<![a-z0-9])(?:{_either(list(alias_of) or ['~'])})(?![a-z0-9])"
     unit_re = rf"(?<![a-z])(?:{_either([u[0] for u in unit_rows()])})(?![a-z0-9%/^])"
 
-    text = records.where(F.length("text") > 0).select("source_table", "record_id", implied, folded(F.col("text")).alias("t"))
+    text = records.where(F.col("text").rlike("[0-9]")).select("source_table", "record_id", implied, folded(F.col("text")).alias("t"))
     found = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(f"({alias_re})"), F.lit(1)), lambda a: F.try_element_at(names, a)))
     read = text.where(~F.col("t").rlike(BOUNDS)).withColumn("q", found).withColumn("rest", F.regexp_replace("t", alias_re, " ; "))
     read = read.withColumn("quantity_id", F.when(F.size("q") == 1, F.get("q", F.lit(0))).when((F.size("q") == 0) & F.col(implied).isNotNull(), F.try_element_at(implied_id, F.col(implied))))
@@ -106,7 +107,7 @@ def stated(records: DataFrame, quantities: DataFrame, implied: str = "implied")
     bare = F.regexp_replace(F.regexp_replace(F.col("rest"), placed, " ; "), REMARKS, " ; ")
     read = read.withColumn("numbers", F.regexp_extract_all(bare, F.lit(rf"(?<![a-z\d^.,])({NUMBER})(?![a-z\d])"), F.lit(1)))
     one = read.where("size(numbers) = 1 and size(units) <= 1")
-    return one.select("source_table", "record_id", "quantity_id", number(F.get("numbers", F.lit(0))).alias("number"), F.get("units", F.lit(0)).alias("unit")).where("number is not null")
+    return one.where(F.col(implied).isNull() | (F.size("units") == 1)).select("source_table", "record_id", "quantity_id", number(F.get("numbers", F.lit(0))).alias("number"), F.get("units", F.lit(0)).alias("unit")).where("number is not null")
 
 
 def conversions(spark: SparkSession, quantities: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def to_common_units(records: DataFrame, quantities: DataFrame, tolerance: float
     least log residual with another value; the best is given).
     """
     spark = records.sparkSession
-    known = stated(records, quantities)
+    known = cut(stated(records, quantities))  # read by three branches
     table = F.broadcast(conversions(spark, quantities))  # units times quantities, both fixed
     value = (F.col("number") + F.col("shift")) * F.col("scale") + F.col("back")
     spelled = known.where("unit is not null").join(table, ["quantity_id", "unit"]).withColumn("value", value).withColumn("stated", F.lit(True))
