@@ -6,6 +6,8 @@ Nested repetitions are possessive, so a long run of words costs linear time and
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from notaflux.functions.spans import DIGIT as D
 from notaflux.functions.spans import EDGE as E
 from notaflux.functions.spans import SPACE as S
@@ -54,3 +56,28 @@ TOKEN_CLASSES = (
 
 #: Where a sentence ends: white space after a full stop before a capital, a line break, a colon before a line break.
 SENTENCE_BREAK = rf"(?<=[.!?]){S}+(?=[A-ZÀ-Ü])|(?<=\n){S}*(?=[^\t-\r\u001c- \u0085\p{{Z}}])|(?<=:){S}*\n"
+
+
+def either(words: Iterable[str]) -> str:
+    """A pattern of whole words in any case that branches letter by letter, so a place where no word starts costs one
+    look at each first letter. The longest word that fits the boundary behind the pattern is taken."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w.lower():
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [_one(c) + written(rest) for c, rest in node.items() if c]
+        if not ways:
+            return ""
+        if "" in node:
+            return f"(?:{'|'.join(ways)})?"
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return written(tree)
+
+
+def _one(c: str) -> str:
+    return c if c.isalnum() or c in "_ " else "\\" + c

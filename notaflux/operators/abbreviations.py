@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notaflux.functions.patterns import either
 from notaflux.functions.spans import EDGE, let, without_marks
 from notaflux.functions.vocab import Abbreviations
 
@@ -40,13 +41,8 @@ def load(path: str | None = None, base: Abbreviations | None = None, required: b
         return known
 
 
-def _literal(word: str) -> str:
-    return "".join(c if c.isalnum() or c in "_ " else "\\" + c for c in word)
-
-
 def matcher(known: Abbreviations) -> str:
-    words = sorted(known.mapping, key=len, reverse=True)
-    return rf"(?iu){EDGE}(?:{'|'.join(map(_literal, words))}){EDGE}"
+    return rf"(?iu){EDGE}{either(known.mapping)}{EDGE}"
 
 
 def _map(known: Abbreviations) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
-from notaflux.functions.patterns import DOSAGES, LABS
-from notaflux.functions.spans import EDGE, WORD, exploded, spans
+from notaflux.functions.patterns import DOSAGES, LABS, either
+from notaflux.functions.spans import EDGE, WORD, exploded, spans, tagged
 from notaflux.functions.vocab import DEFAULT_COLOR, ENTITY_TYPES, Gazetteers
 
 ENTITY = "struct<text:string,entity_type:string,start:int,end:int,confidence:double,source:string,metadata:map<string,string>>"
@@ -19,38 +19,44 @@ ENTITY = "struct<text:string,entity_type:string,start:int,end:int,confidence:dou
 DOSAGE_CONFIDENCE, LAB_CONFIDENCE, TERM_CONFIDENCE = 0.90, 0.85, 0.80
 
 
-def _entities(text: Column, pattern: str, entity_type: str, confidence: float, source: str, order: int) -> Column:
-    return F.transform(spans(text, pattern), lambda s: F.struct(
-        F.lit(order).alias("order"), s.text.alias("text"), F.lit(entity_type).alias("entity_type"), s.start.alias("start"), s.end.alias("end"),
-        F.lit(confidence).alias("confidence"), F.lit(source).alias("source")))
+def _entities(text: Column, kinds: list[tuple[str, str, float, str, int]]) -> Column:
+    """Entities of one scan with several patterns: (pattern, type, confidence, source, order) each."""
+    kind, confidence, source, order = (F.array(*[F.lit(k[n]) for k in kinds]) for n in (1, 2, 3, 4))
+    return F.transform(tagged(text, [k[0] for k in kinds]), lambda s: F.struct(
+        F.get(order, s.tag).alias("order"), s.text.alias("text"), F.get(kind, s.tag).alias("entity_type"), s.start.alias("start"), s.end.alias("end"),
+        F.get(confidence, s.tag).alias("confidence"), F.get(source, s.tag).alias("source")))
 
 
-def _literal(term: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
-
-
-def term_patterns(terms: tuple[str, ...]) -> list[str]:
-    """One alternation for each number of words, longest term first: two terms of one size never start at one place."""
+def term_patterns(terms: tuple[str, ...]) -> dict[int, str]:
+    """A pattern for each number of words: two terms of one size never start at one place."""
     by_words: dict[int, list[str]] = {}
     for t in terms:
         by_words.setdefault(len(t.replace("-", " ").split()), []).append(t)
-    return [rf"(?iu){EDGE}(?:{'|'.join(map(_literal, sorted(words, key=len, reverse=True)))}){EDGE}" for _, words in sorted(by_words.items())]
+    return {n: rf"(?iu){EDGE}{either(words)}{EDGE}" for n, words in sorted(by_words.items())}
 
 
 def dosages(text: Column) -> Column:
-    return F.concat(*[_entities(text, p, "DOSAGEM", DOSAGE_CONFIDENCE, "pattern", k) for k, p in enumerate(DOSAGES)])
+    """One scan: the five patterns of a dosage never share a character."""
+    return _entities(text, [(p, "DOSAGEM", DOSAGE_CONFIDENCE, "pattern", k) for k, p in enumerate(DOSAGES)])
 
 
 def lab_values(text: Column) -> Column:
-    return F.concat(*[_entities(text, p, "VALOR_LABORATORIAL", LAB_CONFIDENCE, "pattern", 10 + k) for k, p in enumerate(LABS)])
+    """A scan for each pattern: a bare value lies inside a named one."""
+    return F.concat(*[_entities(text, [(p, "VALOR_LABORATORIAL", LAB_CONFIDENCE, "pattern", 10 + k)]) for k, p in enumerate(LABS)])
 
 
 def terms(text: Column, vocabulary: Gazetteers | None = None) -> Column:
+    """One scan for each number of words, over all types; the rare longer terms are scanned only in texts that hold one."""
+    scans: dict[int, list[tuple[str, str, float, str, int]]] = {}
+    for k, (kind, words) in enumerate((vocabulary or Gazetteers()).by_type()):
+        for n, pattern in term_patterns(words).items():
+            scans.setdefault(n, []).append((pattern, kind, TERM_CONFIDENCE, "gazetteer", 20 + k))
+    none = F.array().cast("array<struct<order:int,text:string,entity_type:string,start:int,end:int,confidence:double,source:string>>")
     found = [
-        _entities(text, p, kind, TERM_CONFIDENCE, "gazetteer", 20 + k)
-        for k, (kind, words) in enumerate((vocabulary or Gazetteers()).by_type()) if words for p in term_patterns(words)
+        _entities(text, kinds) if n == 1 else F.when(text.rlike("|".join(k[0] for k in kinds)), _entities(text, kinds)).otherwise(none)
+        for n, kinds in sorted(scans.items())
     ]
-    return F.concat(*found)
+    return F.concat(none, *found)
 
 
 def candidates(text: Column, vocabulary: Gazetteers | None = None) -> Column:
@@ -93,14 +99,17 @@ def entity_rows(with_entities: DataFrame, key: str = "doc_id") -> DataFrame:
 def gazetteer_join(notes: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 4) -> DataFrame:
     """(key, text, entity_type, start_pos, end_pos) of the terms of a vocabulary table (term, entity_type) of any size.
 
-    Neighbouring words form n-grams, which meet the vocabulary in one equi-join; Spark broadcasts the vocabulary if its
-    size allows.
+    Each word of a text meets the terms that begin with it in one equi-join, which Spark broadcasts if the vocabulary's
+    size allows; the words that follow are compared after it. ``most_words``: the words of the longest term.
     """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(f"({WORD}+)"), F.lit(1))
+    begun = vocabulary.select("term", "entity_type", F.get(runs(F.col("term")), F.lit(0)).alias("first"), F.size(runs(F.col("term"))).alias("n"))
     words = notes.select(key, F.col(text).alias("__t"), spans(F.col(text), rf"{WORD}+").alias("w"))
-    grams = words.select(key, "__t", F.explode(F.flatten(F.transform("w", lambda a, i: F.transform(
-        F.slice(F.col("w"), i + 1, F.lit(most_words)), lambda b: F.struct(a.start.alias("start"), b.end.alias("end")))))).alias("g"))
-    cut = grams.select(key, F.substring(F.col("__t"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("text"), F.col("g.start").alias("start_pos"), F.col("g.end").alias("end_pos"))
-    return cut.withColumn("term", F.lower("text")).join(vocabulary.select("term", "entity_type"), "term").select(key, "text", "entity_type", "start_pos", "end_pos")
+    rows = words.select(key, "__t", F.explode_outer(F.transform("w", lambda a, i: F.struct(
+        F.lower(a.text).alias("first"), a.start.alias("start"), F.transform(F.slice(F.col("w"), i + 1, F.lit(most_words)), lambda b: b.end).alias("ends")))).alias("g")).select(key, "__t", "g.*")
+    met = rows.join(begun, "first").withColumn("end", F.get("ends", F.col("n") - 1))
+    own = F.substring(F.col("__t"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return met.where(F.lower(own) == F.col("term")).select(key, own.alias("text"), "entity_type", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 def vocabulary_table(spark: SparkSession, vocabulary: Gazetteers | None = None) -> DataFrame:

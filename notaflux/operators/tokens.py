@@ -10,28 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notaflux.functions.patterns import SENTENCE_BREAK, TOKEN_CLASSES
-from notaflux.functions.spans import SPACE, exploded, let, pieces, starts, strip, without_marks
+from notaflux.functions.spans import SPACE, exploded, pieces, strip, tagged
 
 TOKEN = "struct<text:string,start:int,end:int,token_type:string>"
-_SCAN = "|".join(f"({p})" for _, p in TOKEN_CLASSES)
-# each class writes its own place, so the class of a token is the place that is not empty
-_MARKED = "\u0001" + "\u0003".join(f"${k + 1}" for k in range(len(TOKEN_CLASSES))) + "\u0001"
 
 
 def tokens(text: Column) -> Column:
     """ARRAY<STRUCT<text, start, end, token_type>>."""
-    parts = F.split(F.regexp_replace(without_marks(text), F.lit(_SCAN), F.lit(_MARKED)), "\u0001", -1)
-    surface = lambda p: F.translate(p, "\u0003", "")
     names = F.array(*[F.lit(n) for n, _ in TOKEN_CLASSES])
-    place = lambda p: F.length(p) - F.length(F.ltrim(F.translate(p, "\u0003 ", " \u0003")))
-
-    def read(p: Column) -> Column:
-        whole = F.transform(p, surface)
-        return let(whole, lambda w: let(starts(w), lambda s: F.filter(F.transform(w, lambda t, i: F.struct(
-            F.substring(text, F.get(s, i) + 1, F.length(t)).alias("text"), F.get(s, i).alias("start"), (F.get(s, i) + F.length(t)).alias("end"),
-            F.when(i % 2 == 1, F.get(names, place(F.get(p, i)))).alias("token_type"))), lambda t: t.token_type.isNotNull())))
-
-    return F.coalesce(let(parts, read), F.array().cast(f"array<{TOKEN}>"))
+    return F.transform(tagged(text, [p for _, p in TOKEN_CLASSES]), lambda t: F.struct(t.text.alias("text"), t.start.alias("start"), t.end.alias("end"), F.get(names, t.tag).alias("token_type")))
 
 
 def sentences(text: Column, with_tokens: bool = False) -> Column:
