@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from notaflux.cluster import cut
 from notaflux.functions.folding import fold_accents
+from notaflux.functions.patterns import either
 from notaflux.sources.tables import once
 
 # Spellings (folded, lower case) of the base units and their prefixes.
@@ -70,11 +71,6 @@ def _folded(text: str) -> str:
     return "".join(c for c in apart if not unicodedata.combining(c))
 
 
-def _either(words: list[str]) -> str:
-    """An alternation, longest first; only letters, digits and blanks stand for themselves."""
-    return "|".join("".join(c if c.isalnum() or c == " " else "\\" + c for c in w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
-
-
 def number(text: Column) -> Column:
     """The value of a written number: a mark or space before exactly three digits groups thousands, unless only a 0 stands
     before it; any other mark is the decimal one. Null where two decimal marks would be left."""
@@ -93,8 +89,8 @@ def stated(records: DataFrame, quantities: DataFrame, implied: str = "implied")
     alias_of = {a: q for q, _, aliases in named for a in aliases}
     implied_id = F.create_map(*[x for q, name, _ in named for x in (F.lit(name), F.lit(q))]) if named else F.lit(None).cast("map<string,bigint>")
     names = F.create_map(*[x for a, q in alias_of.items() for x in (F.lit(a), F.lit(q))]) if alias_of else F.lit(None).cast("map<string,bigint>")
-    alias_re = rf"(?<![a-z0-9])(?:{_either(list(alias_of) or ['~'])})(?![a-z0-9])"
-    unit_re = rf"(?<![a-z])(?:{_either([u[0] for u in unit_rows()])})(?![a-z0-9%/^])"
+    alias_re = rf"(?<![a-z0-9])(?:{either(alias_of or ['~'])})(?![a-z0-9])"
+    unit_re = rf"(?<![a-z])(?:{either(u[0] for u in unit_rows())})(?![a-z0-9%/^])"
 
     text = records.where(F.col("text").rlike("[0-9]")).select("source_table", "record_id", implied, folded(F.col("text")).alias("t"))
     found = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(f"({alias_re})"), F.lit(1)), lambda a: F.try_element_at(names, a)))
