@@ -69,27 +69,27 @@ def normalize(text: Column, conf: EngineConf | None = None) -> Column:
     conf = conf or EngineConf()
     clean = F.translate(without_marks(text), "".join(_KEEP), "�" * len(_KEEP))
 
-    def body(source: Column) -> Column:
-        def with_kept(kept: Column) -> Column:
-            t = source
-            for pattern, mark in zip(PROTECTED, _KEEP, strict=True):
-                t = _protect(t, pattern, mark)
-            t = symbols(nfc(t))
-            # the marks are control characters themselves and stay until the strings are back
-            t = F.regexp_replace(t, r"[\x00-\x03\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-            if conf.remove_extra_whitespace:
-                t = whitespace(t)
-            if conf.lowercase:
-                t = F.lower(t)
-            if conf.normalize_accents:
-                t = remove_accents(t)
-            for k, mark in enumerate(_KEEP):
-                t = _restore(t, mark, F.get(kept, F.lit(k)))
+    def changed(t: Column) -> Column:
+        t = symbols(nfc(t))
+        # the marks are control characters themselves and stay until the strings are back
+        t = F.regexp_replace(t, r"[\x00-\x03\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+        if conf.remove_extra_whitespace:
+            t = whitespace(t)
+        if conf.lowercase:
+            t = F.lower(t)
+        return remove_accents(t) if conf.normalize_accents else t
+
+    def protect(t: Column, kept: tuple[Column, ...] = ()) -> Column:
+        """Each pattern sees the text that the ones before have left; every step is computed once."""
+        k = len(kept)
+        if k == len(PROTECTED):
+            t = changed(t)
+            for mark, strings in zip(_KEEP, kept, strict=True):
+                t = _restore(t, mark, strings)
             return t
+        return let(F.regexp_extract_all(t, F.lit(f"({PROTECTED[k]})"), F.lit(1)), lambda strings: let(_protect(t, PROTECTED[k], _KEEP[k]), lambda rest: protect(rest, (*kept, strings))))
 
-        return let(protected(source), with_kept)
-
-    return F.when(text.isNull(), None).when(strip(text) == "", "").otherwise(let(clean, body))
+    return F.when(text.isNull(), None).when(strip(text) == "", "").otherwise(let(clean, lambda t: protect(t)))
 
 
 def normalized(notes: DataFrame, text: str = "text", conf: EngineConf | None = None) -> DataFrame:

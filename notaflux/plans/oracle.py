@@ -180,6 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_lines": _on_notes(f"""SELECT note_id, coalesce(g, '') || CASE WHEN g IS NOT NULL AND r IS NOT NULL THEN chr(10) ELSE '' END || coalesce(r, '') AS lines FROM
             (SELECT note_id, string_agg(chr(10) || entity_type || ':' || chr(10) || array_to_string(list_transform(texts, lambda t: '  - ' || t), chr(10)), chr(10) ORDER BY CASE entity_type {_GROUP_ORDER} END) AS g FROM ({_LISTS}) GROUP BY note_id)
             LEFT JOIN (SELECT note_id, chr(10) || 'Relacoes:' || chr(10) || string_agg('  - ' || source_text || ' --[' || relation_type || ']--> ' || target_text, chr(10) ORDER BY relation_no) AS r FROM rel GROUP BY note_id) USING (note_id)"""),
+        "prompt_text": "",
         "fhir_resources": _on_notes(f"SELECT note_id, no AS entity_no, CASE entity_type {_RESOURCE} END AS resource_type, {_STATUS} AS status, t AS text, 'Extraido automaticamente por NLP (confianca: ' || printf('%.2f', confidence) || ')' AS note FROM ent WHERE entity_type <> 'DOSAGEM'"),
         "fhir_bundle_counts": _on_notes(f"SELECT CASE entity_type {_RESOURCE} END AS resource_type, count(*) AS entries FROM ent WHERE entity_type <> 'DOSAGEM' GROUP BY ALL"),
         "fhir_sections": _on_notes(f"""SELECT note_id, title, code, '<div>' || body || '</div>' AS div FROM (
@@ -191,6 +192,9 @@ def oracle_sql() -> dict[str, str]:
         "flow_report": _flow_counts(_SRC_REPORT),
         "flow_expanded": _flow_counts(_SRC_EXPANDED),
     }
+    head, tail = (_q(t).replace("\n", "' || chr(10) || '") for t in (f"{summaries.SYSTEM_PROMPT}\n\n{summaries.PROMPT_ENTITIES}", summaries.PROMPT_TASK))
+    out["prompt_text"] = (f"WITH l AS ({out['prompt_lines']}), {NOTES} SELECT note_id, '{head}' || lines || chr(10) || chr(10) || '{_q(summaries.PROMPT_TEXT.strip())}' || chr(10) || "
+                          f"substring(text, 1, 2000) || chr(10) || chr(10) || '{tail}' AS prompt FROM l JOIN notes USING (note_id)")
     for name, pattern in DOSE.items():
         out[name] = f"WITH {NOTES} SELECT note_id, t AS text, s AS start_pos, e AS end_pos FROM ({_matches('notes', pattern)})"
     out["lab_values"] = f"WITH {NOTES} " + " UNION ALL ".join(f"SELECT note_id, t AS text, s AS start_pos, e AS end_pos FROM ({_matches('notes', p)})" for p in LAB)
