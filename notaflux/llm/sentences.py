@@ -60,6 +60,7 @@ _EVENT = regex.compile(
 )
 _PUNCT_PAIR = regex.compile(r"[\"()\[\]{}（）［］【】〔〕「」『』《》〈〉«»‹›“”„‚‘’]|\n[^\S\n]*\n")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}º°ª.]+$")
+_HYPHENED = regex.compile(r"[\p{L}\p{M}\p{N}-]+$")
 _LIST_MARK = regex.compile(r"(?:^|[\n\r\x0b\x0c\x85  ])[^\S\n\r]*(?:\d{1,3}|\p{L})$")
 _DOTTED = regex.compile(r"\p{L}{1,2}(?:\.\p{L}{1,3})+$")
 _CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}]")
@@ -200,6 +201,8 @@ def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lan
         )
     if low in _ALWAYS:
         return False
+    if small and text[at - len(word) - 1 : at - len(word)] == "-" and _HYPHENED.search(text, max(since, at - _WINDOW), at)[0].lower() in truncations:
+        return False
     if low == "h" and small and text[max(since, at - 4) : at].lstrip() in ("d. h", "d.h"):  # German "d. h."
         return False
     if small or digit:

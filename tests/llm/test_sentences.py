@@ -27,7 +27,9 @@ def test_counts(text, wanted):
 
 
 def test_stems_of_shortened_terms():
-    stems = S.word_stems(["toracotomia exploradora", "grave"])
+    stems = S.word_stems(["toracotomia exploradora", "pre-eclampsia leve", "grave"])
+    assert cut("Feito por pre-e. leve em curso. Fim.", None, stems) == ["Feito por pre-e. leve em curso.", "Fim."]
+    assert cut("Escore RASS -2. segue bem.", None, stems) == ["Escore RASS -2.", "segue bem."]
     assert cut("Feito torac. exploradora. fim aqui", None, stems) == ["Feito torac. exploradora.", "fim aqui"]
 
 
