@@ -192,6 +192,11 @@ def oracle_sql() -> dict[str, str]:
         "flow_report": _flow_counts(_SRC_REPORT),
         "flow_expanded": _flow_counts(_SRC_EXPANDED),
     }
+    out["summary_json"] = _on_notes(f"""SELECT notes.note_id, '{{"condicoes":' || coalesce(c.j, '[]') || ',"medicamentos":' || coalesce(m.j, '[]') || ',"procedimentos":' || coalesce(p.j, '[]') || ',"valores_laboratoriais":' || coalesce(v.j, '[]') || '}}' AS summary
+        FROM notes LEFT JOIN (SELECT note_id, CAST(to_json(texts) AS VARCHAR) AS j FROM ({_LISTS}) WHERE entity_type = 'CONDICAO') c USING (note_id)
+        LEFT JOIN (SELECT note_id, CAST(to_json(texts) AS VARCHAR) AS j FROM ({_LISTS}) WHERE entity_type = 'PROCEDIMENTO') p USING (note_id)
+        LEFT JOIN (SELECT note_id, CAST(to_json(texts) AS VARCHAR) AS j FROM ({_LISTS}) WHERE entity_type = 'VALOR_LABORATORIAL') v USING (note_id)
+        LEFT JOIN (SELECT note_id, '[' || string_agg('{{"nome":"' || nome || '"' || coalesce(',"dosagem":"' || dosagem || '"', '') || coalesce(',"indicacao":"' || indicacao || '"', '') || '}}', ',' ORDER BY seq) || ']' AS j FROM medsum GROUP BY note_id) m USING (note_id)""")
     head, tail = (_q(t).replace("\n", "' || chr(10) || '") for t in (f"{summaries.SYSTEM_PROMPT}\n\n{summaries.PROMPT_ENTITIES}", summaries.PROMPT_TASK))
     out["prompt_text"] = (f"WITH l AS ({out['prompt_lines']}), {NOTES} SELECT note_id, '{head}' || lines || chr(10) || chr(10) || '{_q(summaries.PROMPT_TEXT.strip())}' || chr(10) || "
                           f"substring(text, 1, 2000) || chr(10) || chr(10) || '{tail}' AS prompt FROM l JOIN notes USING (note_id)")
@@ -213,5 +218,7 @@ def oracle_sql() -> dict[str, str]:
         f"r AS (SELECT note_id, g, list_transform(g, lambda x: replace(x, chr(3), '')) AS p FROM q), i AS (SELECT note_id, g, p, unnest(generate_series(2, len(p), 2)) AS i FROM r) "
         f"SELECT note_id, p[i] AS token, CAST({_before('i')} AS INTEGER) AS start_pos, CAST({_before('i')} + length(p[i]) AS INTEGER) AS end_pos, "
         f"[{names}][list_position(list_transform(string_split(g[i], chr(3)), lambda x: x <> ''), true)] AS token_type FROM i")
+    split = out["sentences"].replace("AS sentence, CAST", "AS text, CAST((i - 1) / 2 AS INTEGER) AS sentence_no, CAST")
+    out["sentence_tokens"] = (f"WITH s AS ({split}) SELECT note_id, sentence_no, CAST((len(string_split(regexp_replace(text, '{_q(scan)}', chr(1) || {marks} || chr(1), 'g'), chr(1))) - 1) / 2 AS INTEGER) AS tokens FROM s")
     out["token_types"] = f"SELECT token_type, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM ({out['tokens']}) GROUP BY ALL"
     return out
