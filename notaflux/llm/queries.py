@@ -129,8 +129,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents")
-    return splitting.with_text(splitting.split_texts(documents), documents)
+    return splitting.split_texts(table(spark, root, "documents"), with_piece=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,21 +99,22 @@ def cuts_of(n: int, natural: np.ndarray, similarity: np.ndarray, gaps: np.ndarra
 
 def split_texts(
     texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1024, overlap: int = 64, block: int = 96, slack: float = 0.5,
-    directory: str = TOKENIZER_DIR, name: str = DEFAULT_TOKENIZER,
+    with_piece: bool = False, directory: str = TOKENIZER_DIR, name: str = DEFAULT_TOKENIZER,
 ) -> DataFrame:
     """One row per piece of the texts of more than ``limit`` tokens: (key, piece_no, pieces, start_pos, own_pos, end_pos,
     n_tokens, n_overlap, tokens, cut_at). Positions are code points; [start_pos, own_pos) repeats the piece before.
 
     ``block``: tokens of a block that is compared; ``slack``: share of the room that a piece must fill before a natural
-    boundary is taken, if one lies beyond.
+    boundary is taken, if one lies beyond. ``with_piece`` adds ``piece``, the text of each piece including its overlap.
     """
+    shape = _CUT + ", piece string" * with_piece
     small_batches(texts.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, begun, spaced, whole, ends, line, direction = _traits(directory, name)
         for b in batches:
-            keys = b.column(0).to_pylist()
-            found = encode_arrays(b.column(1).to_pylist(), directory, name)
+            keys, whole_texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            found = encode_arrays(whole_texts, directory, name)
             long = [i for i, ids in enumerate(found) if len(ids) > limit]
             rows: list[tuple] = []
             if long:
@@ -137,15 +138,10 @@ def split_texts(
                     for p, (begin, own, kind) in enumerate(pieces):
                         end = pieces[p + 1][1] if p + 1 < len(pieces) else e - s
                         pos = [int(chars[s + x] - chars[s]) for x in (begin, own, end)]
-                        rows.append((keys[i], p, len(pieces), *pos, end - begin, own - begin, e - s, kind))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _CUT.split(", ")])
+                        rows.append((keys[i], p, len(pieces), *pos, end - begin, own - begin, e - s, kind, *[whole_texts[i][pos[0] : pos[2]]] * with_piece))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * (10 + with_piece)
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()] + [pa.string()] * with_piece
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in shape.split(", ")])
 
-    return texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).mapInArrow(work, _CUT).withColumnRenamed("key", key)
+    return texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).mapInArrow(work, shape).withColumnRenamed("key", key)
 
-
-def with_text(pieces: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``pieces`` with ``piece``, the text of each including its overlap."""
-    of = texts.select(F.col(key), F.col(text).alias("__t"))
-    return pieces.join(of, key).withColumn("piece", F.substring(F.col("__t"), (F.col("start_pos") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int"))).drop("__t")

@@ -79,7 +79,7 @@ def test_pieces(spark, documents):
     prose = " ".join(" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(300))
     df = documents.unionByName(spark.createDataFrame([(99, prose, 0)], "doc_id bigint, text string, ids int"))
     limit, overlap = 100, 10
-    rows = S.with_text(S.split_texts(df, limit=limit, overlap=overlap, block=20), df).collect()
+    rows = S.split_texts(df, limit=limit, overlap=overlap, block=20, with_piece=True).collect()
     texts = dict(enumerate(TEXTS)) | {99: prose}
     long = {i for i, t in texts.items() if t and len(E.encoder().encode_ordinary(t)) > limit}
     assert {r["doc_id"] for r in rows} == long
