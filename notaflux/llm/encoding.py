@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,14 @@ def token_bytes(directory: str = TOKENIZER_DIR, name: str = DEFAULT_TOKENIZER) -
     return out
 
 
+@cache
+def _token_store(directory: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids in a row, where each begins, and how many each has."""
+    raw = token_bytes(directory, name)
+    sizes = np.array([len(t) for t in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes
+
+
 def encode_arrays(texts: list[str | None], directory: str, name: str) -> list[np.ndarray]:
     """Ids of each text as arrays; empty for null and empty texts."""
     encode = encoder(directory, name)._core_bpe.encode_ordinary
@@ -135,10 +144,24 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", directory:
     kind = encoded.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = token_bytes(directory, name)
+        store, starts, sizes = _token_store(directory, name)
         for b in batches:
-            out = [None if i is None else b"".join([raw[x] for x in i]).decode("utf-8", "replace") for i in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["k", "text"])
+            lists = b.column(1)
+            values = np.asarray(lists.flatten())
+            of_list = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
+            size = sizes[values]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            # byte n of the output is byte n - (end before its token) of the bytes of the token
+            raw = store[np.repeat(starts[values] - ends[:-1], size) + np.arange(ends[-1])]
+            offsets = ends[of_list].astype(np.int32)
+            found = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+            if lists.null_count:
+                found = pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), found)
+            try:
+                text = found.cast(pa.string())
+            except pa.ArrowInvalid:  # ids that are no whole characters
+                text = pa.array([None if x is None else x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), text], names=["k", "text"])
 
     small_batches(encoded.sparkSession)
     return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(read, f"k {kind}, text string").select(F.col("k").alias(key), "text")

@@ -39,6 +39,12 @@ def test_decoding_gives_the_text_back(spark, documents):
     assert got == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_decoding_of_nulls_and_half_characters(spark):
+    half = E.encoder().encode_ordinary("🙂")[:1]
+    df = spark.createDataFrame([(1, None), (2, []), (3, half), (4, E.encoder().encode_ordinary("fim"))], "doc_id bigint, ids array<int>").coalesce(1)
+    assert {r["doc_id"]: r["text"] for r in E.decode(df).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "fim"}
+
+
 def test_empty_tables(spark, documents):
     none = documents.limit(0)
     assert E.encode(none).count() == 0 and S.split_texts(none).count() == 0 and P.pack(P.token_counts(none)).count() == 0
