@@ -60,13 +60,13 @@ def _terms(words: tuple[str, ...], n: int) -> str | None:
 def _candidates(source: str) -> str:
     parts = []
     for k, p in enumerate(DOSE.values()):
-        parts.append(f"SELECT *, 'DOSAGEM' AS entity_type, 0.9 AS confidence, 'pattern' AS source, {k} AS ord FROM ({_matches(source, p)})")
+        parts.append(f"SELECT *, 'DOSAGEM' AS entity_type, CAST(0.9 AS DOUBLE) AS confidence, 'pattern' AS source, {k} AS ord FROM ({_matches(source, p)})")
     for k, p in enumerate(LAB):
-        parts.append(f"SELECT *, 'VALOR_LABORATORIAL', 0.85, 'pattern', {10 + k} FROM ({_matches(source, p)})")
+        parts.append(f"SELECT *, 'VALOR_LABORATORIAL', CAST(0.85 AS DOUBLE), 'pattern', {10 + k} FROM ({_matches(source, p)})")
     for k, (kind, words) in enumerate(Gazetteers().by_type()):
         for n in range(1, 5):
             if pattern := _terms(words, n):
-                parts.append(f"SELECT *, '{kind}', 0.8, 'gazetteer', {20 + k} FROM ({_matches(source, pattern)})")
+                parts.append(f"SELECT *, '{kind}', CAST(0.8 AS DOUBLE), 'gazetteer', {20 + k} FROM ({_matches(source, pattern)})")
     return " UNION ALL ".join(parts)
 
 

@@ -124,7 +124,7 @@ def entities_top(spark: SparkSession, root: str) -> DataFrame:
 
 def entity_stats(spark: SparkSession, root: str) -> DataFrame:
     s = _entities(spark, root).select("note_id", entities.stats(F.col("entities")).alias("s"))
-    return s.select("note_id", F.col("s.total").alias("total"), *[F.col("s.by_type").getItem(k).alias(k.lower()) for k, *_ in ENTITY_TYPES], F.round("s.avg_confidence", 6).alias("avg_confidence"))
+    return s.select("note_id", F.col("s.total").cast("bigint").alias("total"), *[F.col("s.by_type").getItem(k).cast("bigint").alias(k.lower()) for k, *_ in ENTITY_TYPES], F.round("s.avg_confidence", 6).alias("avg_confidence"))
 
 
 def entity_labels(spark: SparkSession, root: str) -> DataFrame:
