@@ -8,7 +8,7 @@ children. What climbs the tree is therefore bounded by the number of partitions,
 
 Defined results: null, empty and blank texts of no token are items of size 0 and lie in the container "0" of their own;
 an item over the capacity is cut into pieces of the capacity and a rest, no other item is cut; repeated keys are
-packed as often as they stand.
+packed as often as they stand; a null key is kept.
 """
 
 from __future__ import annotations
@@ -120,7 +120,8 @@ def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.995, fan_in: in
         label = np.array([f"{node}-{i}" for i in range(len(fills))], object)[where] if len(fills) else np.zeros(0, object)
         yield pd.DataFrame({"key": key_of, "piece": piece, "pieces": np.repeat(pieces, pieces), "size": piece_size, "bin": np.where(piece_size == 0, "0", label), "fill": np.where(piece_size == 0, 0, fill), "node": node})
 
-    placed = cut(sizes.select(F.col(key).cast("bigint").alias("key"), F.col(size).cast("bigint").alias("size")).mapInPandas(local, PLACED))
+    no_key = F.lit(-(2**63)).cast("bigint")  # nulls would turn a column of integers into one of floats on the way
+    placed = cut(sizes.select(F.coalesce(F.col(key).cast("bigint"), no_key).alias("key"), F.col(size).cast("bigint").alias("size")).mapInPandas(local, PLACED))
     nodes = (placed.agg(F.max("node")).first()[0] or 0) + 1  # one number
     bins = placed.where(f"fill > 0 and fill < {int(capacity * full)}").groupBy("bin").agg(F.first("fill").alias("fill"), F.first("node").alias("node")).select("bin", "fill", "node", F.lit("").alias("into"))
     moved: DataFrame | None = None
@@ -139,4 +140,4 @@ def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.995, fan_in: in
         placed = placed.join(moved, "bin", "left").withColumn("bin", F.coalesce("into", "bin")).drop("into")
     total = placed.groupBy("bin").agg(F.sum("size").cast("int").alias("total"))
     changed = placed.drop("fill", "node").join(total, "bin")
-    return changed.select("key", "piece", "pieces", "size", "bin", F.col("total").alias("fill"))
+    return changed.select(F.nullif(F.col("key"), no_key).alias("key"), "piece", "pieces", "size", "bin", F.col("total").alias("fill"))

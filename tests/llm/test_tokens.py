@@ -74,6 +74,13 @@ def test_packing_is_whole_and_tight(spark, parts):
     assert sum(1 for v in used if v <= 50) <= 1  # no two small bins are left apart
 
 
+def test_null_and_huge_keys(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(None, 10), (big, 20), (big, None), (7, 250)], "key bigint, tokens int")
+    rows = P.pack(df, capacity=100).collect()
+    assert sorted((str(r["key"]), r["piece"], r["size"]) for r in rows) == sorted([("None", 0, 10), (str(big), 0, 20), (str(big), 0, 0), ("7", 0, 100), ("7", 1, 100), ("7", 2, 50)])
+
+
 def test_items_that_never_meet(spark):
     df = spark.createDataFrame([(i, 51) for i in range(200)], "key bigint, tokens int").repartition(8)
     assert len({r["bin"] for r in P.pack(df, capacity=100, fan_in=2).collect()}) == 200
