@@ -15,6 +15,8 @@ from notaflux.functions.spans import WORD as W
 
 NUM = rf"{D}+[.,]?{D}*"
 _I = "(?iu)"
+#: The word boundary before a word character and after one: one look instead of two.
+START, END = rf"(?<!{W})", rf"(?!{W})"
 
 # Units of measurements kept as written, of doses, of laboratory values.
 MEASURE_UNITS = r"mg|ml|mcg|g|kg|mm|cm|mmHg|bpm|UI|mEq|mmol|L|dL|mL|ug|ng|pg|U|%|x10[³3]|/mm[³3]"
@@ -23,33 +25,37 @@ LAB_UNITS = r"mg/dL|g/dL|mmol/L|mEq/L|U/L|ng/mL|pg/mL|mcg/dL|mm[³3]|/mm[³3]|%|
 BARE_LAB_UNITS = r"mg/dL|g/dL|mmol/L|mEq/L|U/L|ng/mL|pg/mL|mcg/dL|/mm[³3]|mil/mm[³3]|x10[³3]/uL"
 ROUTES = rf"via{S}+oral|vo|ev|im|sc|sl|intramuscular|endovenoso|subcutaneo|sublingual|topico"
 
-MEASUREMENT = rf"{_I}{E}{NUM}{S}*(?:{MEASURE_UNITS}){E}"
-PER_UNIT = rf"{_I}{E}{NUM}{S}*/{S}*(?:mm[³3]|dL|L|mL){E}"
-DATE = rf"{E}{D}{{1,2}}/{D}{{1,2}}/{D}{{2,4}}{E}"
-TIME = rf"{E}{D}{{1,2}}:{D}{{2}}(?::{D}{{2}})?{E}"
+MEASUREMENT = rf"{_I}{START}{NUM}{S}*(?:{MEASURE_UNITS}){E}"
+PER_UNIT = rf"{_I}{START}{NUM}{S}*/{S}*(?:mm[³3]|dL|L|mL){END}"
+DATE = rf"{START}{D}{{1,2}}/{D}{{1,2}}/{D}{{2,4}}{END}"
+TIME = rf"{START}{D}{{1,2}}:{D}{{2}}(?::{D}{{2}})?{END}"
 PROTECTED = (MEASUREMENT, PER_UNIT, DATE, TIME)
 
-DOSE_AMOUNT = rf"{_I}{E}{NUM}{S}*(?:{DOSE_UNITS}){E}"
-DOSE_FREQUENCY = rf"{_I}{E}{D}+{S}*(?:x|vez(?:es)?){S}*/?{S}*(?:ao{S}+)?(?:dia|d){E}"
-DOSE_INTERVAL = rf"{_I}{E}de{S}+{D}+{S}*/{S}*{D}+{S}*h(?:oras?)?{E}"
-DOSE_EVERY = rf"{_I}{E}a{S}+cada{S}+{D}+{S}*h(?:oras?)?{E}"
-DOSE_ROUTE = rf"{_I}{E}(?:{ROUTES}){E}"
-DOSAGES = (DOSE_AMOUNT, DOSE_FREQUENCY, DOSE_INTERVAL, DOSE_EVERY, DOSE_ROUTE)
+_DOSES = (
+    rf"{NUM}{S}*(?:{DOSE_UNITS})",
+    rf"{D}+{S}*(?:x|vez(?:es)?){S}*/?{S}*(?:ao{S}+)?(?:dia|d)",
+    rf"de{S}+{D}+{S}*/{S}*{D}+{S}*h(?:oras?)?",
+    rf"a{S}+cada{S}+{D}+{S}*h(?:oras?)?",
+    rf"(?:{ROUTES})",
+)
+#: The five forms of a dosage, and what stands before and after each.
+DOSE_FORMS, DOSE_EDGES = _DOSES, (_I + START, END)
+DOSE_AMOUNT, DOSE_FREQUENCY, DOSE_INTERVAL, DOSE_EVERY, DOSE_ROUTE = DOSAGES = tuple(f"{DOSE_EDGES[0]}{p}{DOSE_EDGES[1]}" for p in _DOSES)
 
 _NAME = r"a-zà-ü"
-LAB_NAMED = rf"{_I}{E}[A-ZÀ-Ü][{_NAME}]++(?:{S}++[{_NAME}]++)*+{S}*+[:=]{S}*{NUM}{S}*(?:{LAB_UNITS}){E}"
-LAB_BARE = rf"{_I}{E}{NUM}{S}*(?:{BARE_LAB_UNITS}){E}"
+LAB_NAMED = rf"{_I}{START}[A-ZÀ-Ü][{_NAME}]++(?:{S}++[{_NAME}]++)*+{S}*+[:=]{S}*{NUM}{S}*(?:{LAB_UNITS}){E}"
+LAB_BARE = rf"{_I}{START}{NUM}{S}*(?:{BARE_LAB_UNITS}){END}"
 LABS = (LAB_NAMED, LAB_BARE)
 
 # Tokens: the first alternative that fits wins, and anything else that is no white space is a token of one character.
 _LETTER = r"A-Za-zÀ-ɏ"
 TOKEN_CLASSES = (
-    ("measurement", rf"{_I[:-1]}:{E}{NUM}{S}*(?:{MEASURE_UNITS}){E})"),
-    ("measurement", rf"{_I[:-1]}:{E}{NUM}{S}*/{S}*(?:mm[³3]|dL|L|mL){E})"),
-    ("measurement", rf"{_I[:-1]}:{E}{D}+x{D}+{S}*mmHg{E})"),
-    ("number", rf"{E}{D}+[.,]{D}+{E}"),
-    ("number", rf"{E}{D}+{E}"),
-    ("word", rf"{E}[{_LETTER}][{_LETTER}'-]*{E}"),
+    ("measurement", rf"{_I[:-1]}:{START}{NUM}{S}*(?:{MEASURE_UNITS}){E})"),
+    ("measurement", rf"{_I[:-1]}:{START}{NUM}{S}*/{S}*(?:mm[³3]|dL|L|mL){END})"),
+    ("measurement", rf"{_I[:-1]}:{START}{D}+x{D}+{S}*mmHg{END})"),
+    ("number", rf"{START}{D}+[.,]{D}+{END}"),
+    ("number", rf"{START}{D}+{END}"),
+    ("word", rf"{START}[{_LETTER}][{_LETTER}'-]*{E}"),
     ("punctuation", rf"(?!{S})(?!{W})[\s\S]"),
     ("unknown", rf"(?!{S})[\s\S]"),
 )
@@ -79,5 +85,12 @@ def either(words: Iterable[str]) -> str:
     return written(tree)
 
 
+def edges(words: Iterable[str]) -> tuple[str, str]:
+    """What stands before and after whole words of any case."""
+    words = list(words)
+    plain = lambda c: c.isalnum() or c == "_"
+    return _I + (START if all(plain(w[0]) for w in words if w) else E), END if all(plain(w[-1]) for w in words if w) else E
+
+
 def _one(c: str) -> str:
     return c if c.isalnum() or c in "_ " else "\\" + c

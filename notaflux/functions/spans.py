@@ -59,11 +59,13 @@ def pieces(text: Column, pattern: str, replacement: str = "\u0001$0\u0002") -> C
         x.alias("part"), F.get(s, i).alias("start"), (i % 2 == 1).alias("matched")))))
 
 
-def tagged(text: Column, patterns: Sequence[str]) -> Column:
+def tagged(text: Column, patterns: Sequence[str], before: str = "", after: str = "") -> Column:
     """ARRAY<STRUCT<text, start, end, tag>> of one scan with several patterns: at each place the first that fits wins, and
-    ``tag`` is its number. Each pattern writes its own place into the mark, so the tag is the place that is not empty."""
+    ``tag`` is its number. Each pattern writes its own place into the mark, so the tag is the place that is not empty.
+    ``before`` and ``after``: conditions without width that all patterns share.
+    """
     marks = "\u0001" + "\u0003".join(f"${k + 1}" for k in range(len(patterns))) + "\u0001"
-    parts = F.split(F.regexp_replace(without_marks(text), F.lit("|".join(f"({p})" for p in patterns)), F.lit(marks)), "\u0001", -1)
+    parts = F.split(F.regexp_replace(without_marks(text), F.lit(f"{before}(?:{'|'.join(f'({p})' for p in patterns)}){after}"), F.lit(marks)), "\u0001", -1)
     place = lambda p: F.length(p) - F.length(F.ltrim(F.translate(p, "\u0003 ", " \u0003")))
 
     def read(p: Column) -> Column:

@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notaflux.functions.patterns import either
-from notaflux.functions.spans import EDGE, let, without_marks
+from notaflux.functions.patterns import edges, either
+from notaflux.functions.spans import let, without_marks
 from notaflux.functions.vocab import Abbreviations
 
 log = logging.getLogger(__name__)
@@ -42,7 +42,8 @@ def load(path: str | None = None, base: Abbreviations | None = None, required: b
 
 
 def matcher(known: Abbreviations) -> str:
-    return rf"(?iu){EDGE}{either(known.mapping)}{EDGE}"
+    before, after = edges(known.mapping)
+    return f"{before}{either(known.mapping)}{after}"
 
 
 def _map(known: Abbreviations) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
-from notaflux.functions.patterns import DOSAGES, LABS, either
-from notaflux.functions.spans import EDGE, WORD, exploded, spans, tagged
+from notaflux.functions.patterns import DOSE_EDGES, DOSE_FORMS, LABS, edges, either
+from notaflux.functions.spans import WORD, exploded, spans, tagged
 from notaflux.functions.vocab import DEFAULT_COLOR, ENTITY_TYPES, Gazetteers
 
 ENTITY = "struct<text:string,entity_type:string,start:int,end:int,confidence:double,source:string,metadata:map<string,string>>"
@@ -19,25 +19,28 @@ ENTITY = "struct<text:string,entity_type:string,start:int,end:int,confidence:dou
 DOSAGE_CONFIDENCE, LAB_CONFIDENCE, TERM_CONFIDENCE = 0.90, 0.85, 0.80
 
 
-def _entities(text: Column, kinds: list[tuple[str, str, float, str, int]]) -> Column:
+Kinds = list[tuple[str, str, float, str, int]]
+
+
+def _entities(text: Column, kinds: Kinds, before: str = "", after: str = "") -> Column:
     """Entities of one scan with several patterns: (pattern, type, confidence, source, order) each."""
     kind, confidence, source, order = (F.array(*[F.lit(k[n]) for k in kinds]) for n in (1, 2, 3, 4))
-    return F.transform(tagged(text, [k[0] for k in kinds]), lambda s: F.struct(
+    return F.transform(tagged(text, [k[0] for k in kinds], before, after), lambda s: F.struct(
         F.get(order, s.tag).alias("order"), s.text.alias("text"), F.get(kind, s.tag).alias("entity_type"), s.start.alias("start"), s.end.alias("end"),
         F.get(confidence, s.tag).alias("confidence"), F.get(source, s.tag).alias("source")))
 
 
-def term_patterns(terms: tuple[str, ...]) -> dict[int, str]:
-    """A pattern for each number of words: two terms of one size never start at one place."""
-    by_words: dict[int, list[str]] = {}
+def by_words(terms: tuple[str, ...]) -> dict[int, list[str]]:
+    """Terms by their number of words: two terms of one size never start at one place."""
+    out: dict[int, list[str]] = {}
     for t in terms:
-        by_words.setdefault(len(t.replace("-", " ").split()), []).append(t)
-    return {n: rf"(?iu){EDGE}{either(words)}{EDGE}" for n, words in sorted(by_words.items())}
+        out.setdefault(len(t.replace("-", " ").split()), []).append(t)
+    return out
 
 
 def dosages(text: Column) -> Column:
-    """One scan: the five patterns of a dosage never share a character."""
-    return _entities(text, [(p, "DOSAGEM", DOSAGE_CONFIDENCE, "pattern", k) for k, p in enumerate(DOSAGES)])
+    """One scan: the five forms of a dosage never share a character."""
+    return _entities(text, [(p, "DOSAGEM", DOSAGE_CONFIDENCE, "pattern", k) for k, p in enumerate(DOSE_FORMS)], *DOSE_EDGES)
 
 
 def lab_values(text: Column) -> Column:
@@ -47,15 +50,18 @@ def lab_values(text: Column) -> Column:
 
 def terms(text: Column, vocabulary: Gazetteers | None = None) -> Column:
     """One scan for each number of words, over all types; the rare longer terms are scanned only in texts that hold one."""
-    scans: dict[int, list[tuple[str, str, float, str, int]]] = {}
+    scans: dict[int, Kinds] = {}
+    listed: dict[int, list[str]] = {}
     for k, (kind, words) in enumerate((vocabulary or Gazetteers()).by_type()):
-        for n, pattern in term_patterns(words).items():
-            scans.setdefault(n, []).append((pattern, kind, TERM_CONFIDENCE, "gazetteer", 20 + k))
+        for n, own in by_words(words).items():
+            scans.setdefault(n, []).append((either(own), kind, TERM_CONFIDENCE, "gazetteer", 20 + k))
+            listed.setdefault(n, []).extend(own)
     none = F.array().cast("array<struct<order:int,text:string,entity_type:string,start:int,end:int,confidence:double,source:string>>")
-    found = [
-        _entities(text, kinds) if n == 1 else F.when(text.rlike("|".join(k[0] for k in kinds)), _entities(text, kinds)).otherwise(none)
-        for n, kinds in sorted(scans.items())
-    ]
+    found = []
+    for n, kinds in sorted(scans.items()):
+        before, after = edges(listed[n])
+        scan = _entities(text, kinds, before, after)
+        found.append(scan if n == 1 else F.when(text.rlike(f"{before}(?:{'|'.join(k[0] for k in kinds)}){after}"), scan).otherwise(none))
     return F.concat(none, *found)
 
 
