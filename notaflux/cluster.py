@@ -19,6 +19,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return now.get()
     path = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="notaflux-checkpoint-")
     context.setCheckpointDir(path)
     return path
