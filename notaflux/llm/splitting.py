@@ -5,8 +5,9 @@ and of the block after are compared, and the deepest valley of similarity within
 cut. Without a natural boundary in the window the last gap between words is taken, without any gap the last character.
 Each piece but the first then repeats up to ``overlap`` tokens of the one before, from a gap between words.
 
-Block vectors are sums of fixed random directions of the tokens, so one running sum over a batch of documents gives
-every block by a subtraction. Cuts lie between pre-tokens (or, as a last resort, between whole characters), so the
+Block similarities are exact cosines of token counts. Equal tokens near each other are paired once over a batch of
+documents; the boundaries between or after the two form an interval, so running sums of interval ends give every block's
+product and norms. Cuts lie between pre-tokens (or, as a last resort, between whole characters), so the
 tokens of a piece are those of the text and no piece has to be encoded again.
 
 Defined results: null, empty and short texts (at most ``limit`` tokens) give no row; pieces without their overlaps
@@ -27,12 +28,11 @@ from notaflux.cluster import small_batches
 from notaflux.llm.encoding import DEFAULT_TOKENIZER, TOKENIZER_DIR, encode_arrays, token_bytes
 
 _CUT = "key bigint, piece_no int, pieces int, start_pos bigint, own_pos bigint, end_pos bigint, n_tokens int, n_overlap int, tokens int, cut_at string"
-DIRECTIONS = 16
 
 
 @cache
 def _traits(directory: str, name: str) -> tuple[np.ndarray, ...]:
-    """By token id: bytes, characters begun, starts with space, can start a character, ends a sentence, holds a line break, direction."""
+    """By token id: bytes, characters begun, starts with space, can start a character, ends a sentence, holds a line break, counts in blocks."""
     raw = token_bytes(directory, name)
     size = np.array([len(t) for t in raw], np.int32)
     begun = np.array([sum((b & 0xC0) != 0x80 for b in t) for t in raw], np.int32)
@@ -40,24 +40,42 @@ def _traits(directory: str, name: str) -> tuple[np.ndarray, ...]:
     whole = np.array([bool(t) and (t[0] & 0xC0) != 0x80 for t in raw])
     ends = np.array([t.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b";", b":") for t in raw])
     line = np.array([b"\n" in t for t in raw])
-    rng = np.random.default_rng(20_240_101)
-    direction = rng.choice(np.array([-1, 1], np.float32), (len(raw), DIRECTIONS))
+    # signs, digits and the shortest words say nothing about the topic
     wordy = np.array([len(t.strip()) > 3 and t.strip().isalpha() or any(b > 127 for b in t) for t in raw])
-    direction[~wordy] = 0  # signs, digits and the shortest words say nothing about the topic
-    return size, begun, spaced, whole, ends, line, direction
+    return size, begun, spaced, whole, ends, line, wordy
 
 
-def valleys(ids: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, direction: np.ndarray, block: int) -> np.ndarray:
-    """Similarity of the blocks before and after each token position ``at``, within the text [first, last)."""
-    width = max(1, min(1 << 18, len(ids)))
-    running = np.zeros((len(ids) + 1, direction.shape[1]), np.float32)
-    for s in range(0, len(ids), width):
-        np.cumsum(direction[ids[s : s + width]], axis=0, out=running[s + 1 : s + 1 + width])
-        running[s + 1 : s + 1 + width] += running[s]
-    here = running[at]
-    left, right = here - running[np.maximum(first, at - block)], running[np.minimum(last, at + block)] - here
-    scale = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    return np.where(scale > 0, (left * right).sum(1) / np.maximum(scale, 1e-9), 0.0)
+def valleys(ids: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, counted: np.ndarray, block: int) -> np.ndarray:
+    """Cosine of the token counts of the blocks before and after each position ``at``, within the text [first, last).
+
+    ``counted``: by token id, nonzero (in a matrix: anywhere in the row) where the token counts.
+    """
+    reach = 2 * block
+    starts = np.unique(np.concatenate([first, last, [0]]))
+    # texts are set apart by ``reach`` empty places, so no block and no pair holds tokens of two
+    apart = np.cumsum(np.bincount(starts, minlength=len(ids) + 1)) * reach
+    size = int(len(ids) + apart[-1] + reach)
+    counts = np.nonzero(counted.reshape(len(counted), -1).any(1)[ids])[0]
+    order = np.sort(ids[counts].astype(np.int64) << 40 | counts + apart[counts])
+    place = order & (1 << 40) - 1
+    # +1 where the interval of boundaries begins for which a pair counts, -1 after its end
+    product, norm = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+    norm += np.bincount(place + 1, minlength=size + 1) - np.bincount(place + block + 1, minlength=size + 1)
+    near, lag = np.arange(len(order)), 1
+    while len(near := near[near < len(order) - lag]) and len(near := near[order[near + lag] - order[near] < reach]):
+        i, j = place[near], place[near + lag]
+        np.add.at(product, np.maximum(i + 1, j - block + 1), 1)
+        np.add.at(product, np.minimum(j, i + block) + 1, -1)
+        within = j - i < block
+        i, j = i[within], j[within]
+        np.add.at(norm, j + 1, 2)
+        np.add.at(norm, i + block + 1, -2)
+        lag += 1
+    product, norm = np.cumsum(product), np.cumsum(norm)
+    # a boundary at the end of a text belongs to that text, not to the next
+    here = at + apart[np.maximum(at - 1, first)]
+    scale = np.sqrt(norm[here].astype(float) * norm[here + block])
+    return np.where(scale > 0, product[here] / np.maximum(scale, 1e-9), 0.0)
 
 
 def cuts_of(n: int, natural: np.ndarray, similarity: np.ndarray, gaps: np.ndarray, whole: np.ndarray, limit: int, overlap: int, slack: float) -> list[tuple[int, int, str]]:
@@ -111,7 +129,7 @@ def split_texts(
     small_batches(texts.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, begun, spaced, whole, ends, line, direction = _traits(directory, name)
+        _, begun, spaced, whole, ends, line, wordy = _traits(directory, name)
         for b in batches:
             keys, whole_texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             found = encode_arrays(whole_texts, directory, name)
@@ -129,7 +147,7 @@ def split_texts(
                 is_natural[starts[:-1]] = is_gap[starts[:-1]] = False
                 natural, gaps = np.nonzero(is_natural)[0], np.nonzero(is_gap)[0]
                 doc = np.searchsorted(starts, natural, "right") - 1
-                similarity = valleys(ids, natural, starts[doc], starts[doc + 1], direction, block)
+                similarity = valleys(ids, natural, starts[doc], starts[doc + 1], wordy, block)
                 a, g = np.searchsorted(natural, starts), np.searchsorted(gaps, starts)
                 can = whole[ids]
                 for d, i in enumerate(long):

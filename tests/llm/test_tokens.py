@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from notaflux.llm import encoding as E
@@ -115,3 +117,19 @@ def test_deepest_valley():
     assert at[int(np.argmin(similarity))] == 60
     pieces = S.cuts_of(120, at, similarity, at, np.ones(121, bool), 100, 0, 0.3)
     assert [p[1] for p in pieces] == [0, 60]
+
+
+def test_valleys_are_exact_on_documents():
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t) > 4000]
+    wordy = S._traits(E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER)[6]
+    parts = E.encode_arrays([*texts, "", "1 2 3 " * 400, "ação " * 300], E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER)
+    ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+    at = np.array([p for p in range(7, len(ids), 13) if p not in ends])
+    doc = np.searchsorted(ends, at, "right")
+    first, last = (ends - [len(x) for x in parts])[doc], ends[doc]
+    wanted = []
+    for p, a, b in zip(at, first, last, strict=True):
+        left, right = (Counter(int(x) for x in ids[s:e] if np.any(wordy[x])) for s, e in ((max(a, p - 96), p), (p, min(b, p + 96))))
+        scale = (sum(c * c for c in left.values()) * sum(c * c for c in right.values())) ** 0.5
+        wanted.append(sum(c * right[t] for t, c in left.items()) / scale if scale else 0.0)
+    assert len(texts) > 5 and np.allclose(S.valleys(ids, at, first, last, wordy, 96), wanted, atol=1e-6)
