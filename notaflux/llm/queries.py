@@ -125,11 +125,11 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return splitting.split_texts(table(spark, root, "documents")).where("piece_no = 0 and pieces > 1").select("doc_id")
+    return splitting.split_texts(table(spark, root, "documents"), lang="lang").where("piece_no = 0 and pieces > 1").select("doc_id")
 
 
 def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
-    return splitting.split_texts(table(spark, root, "documents"), with_piece=True)
+    return splitting.split_texts(table(spark, root, "documents"), with_piece=True, lang="lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

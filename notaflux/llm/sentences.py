@@ -11,6 +11,7 @@ character other than white space lies in exactly one span; an opener without clo
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -59,6 +60,8 @@ _EVENT = regex.compile(
     r"|(?P<gap>(?<=\p{Thai})[^\S\n\r]+(?=\S)|(?<=[\p{N}\p{P}])[^\S\n\r]+(?=\p{Thai}))"
 )
 _PUNCT_PAIR = regex.compile(r"[\"()\[\]{}（）［］【】〔〕「」『』《》〈〉«»‹›“”„‚‘’]|\n[^\S\n]*\n")
+_NEW_LINE = regex.compile(r"\n\s*")
+_BLANK_LINE = regex.compile(r"\n[^\S\n]*\n")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}º°ª.]+$")
 _HYPHENED = regex.compile(r"[\p{L}\p{M}\p{N}-]+$")
 _LIST_MARK = regex.compile(r"(?:^|[\n\r\x0b\x0c\x85  ])[^\S\n\r]*(?:\d{1,3}|\p{L})$")
@@ -69,6 +72,8 @@ _DIGIT = regex.compile(r"\p{Nd}")
 _LETTER = regex.compile(r"\p{L}")
 _GOES_ON = frozenset(",;:、，；：-–—%/")
 _WINDOW = 48
+# What can stand right before a boundary inside a line.
+BEFORE_END = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…\"" + regex.escape("".join(sorted(_CLOSERS))) + "]")
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
@@ -121,13 +126,71 @@ def sentence_spans(text: str | None, lang: str | None = None, truncations: froze
     """
     if not text or text.isspace():
         return []
+    spans = []
+    start = 0
+    for cut in (*_cuts(text, _regions(text), 0, len(text), lang, truncations), len(text)):
+        s, e = start, cut
+        while s < e and text[s].isspace():
+            s += 1
+        while e > s and text[e - 1].isspace():
+            e -= 1
+        if s < e:
+            spans.append((s, e))
+        start = cut
+    return spans
+
+
+class SentenceEnds:
+    """Whether a sentence ends at a position of ``text``, read only in the paragraph around it.
+
+    Quotations and brackets never reach over a blank line, so the answers are the boundaries of ``sentence_spans``.
+    ``also``: further abbreviations that end nothing, whatever follows.
+    """
+
+    def __init__(self, text: str, lang: str | None = None, also: frozenset[str] = frozenset()) -> None:
+        self.text, self.lang, self.also = text, lang, also
+        blanks = [m.span() for m in _BLANK_LINE.finditer(text)]
+        self.begins, self.stops = [0, *(e for _, e in blanks)], [*(s for s, _ in blanks), len(text)]
+        self.regions: dict[int, tuple[list[tuple[int, int]], list[int]]] = {}
+        self.known: dict[int, frozenset[int]] = {}
+
+    def _paragraph(self, k: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """Its regions, and the starts of its lines that surely begin a sentence."""
+        begin, stop = self.begins[k], self.stops[k]
+        regions = [(begin + o, begin + c) for o, c in _regions(self.text[begin:stop])]
+        starts, r = [begin], 0
+        for m in _NEW_LINE.finditer(self.text, begin, stop):
+            while r < len(regions) and regions[r][1] < m.start():
+                r += 1
+            if not (r < len(regions) and regions[r][0] < m.start()) and m.end() < stop and not _SMALL.match(self.text, m.end()):
+                starts.append(m.end())
+        return regions, starts
+
+    def __call__(self, at: int) -> bool:
+        k = bisect_left(self.begins, at) - 1
+        if k not in self.regions:
+            self.regions[k] = self._paragraph(k)
+        regions, starts = self.regions[k]
+        i = bisect_left(starts, at) - 1
+        begin = starts[i]
+        if begin not in self.known:
+            stop = starts[i + 1] if i + 1 < len(starts) else self.stops[k]
+            self.known[begin] = frozenset(_cuts(self.text, regions[bisect_left(regions, (begin, 0)) :], begin, stop, self.lang, also=self.also))
+        return at in self.known[begin]
+
+
+def _cuts(
+    text: str, regions: list[tuple[int, int]], since: int, stop: int, lang: str | None,
+    truncations: frozenset[str] = frozenset(), also: frozenset[str] = frozenset(),
+) -> list[int]:
+    """Positions in [since, stop] at which sentences end."""
     n = len(text)
-    regions = _regions(text)
     cuts: list[int] = []
     r = 0
-    since = 0
-    for m in _EVENT.finditer(text):
+    for m in _EVENT.finditer(text, since):
         at = m.start()
+        if at >= stop:
+            break
         while r < len(regions) and regions[r][1] < at:
             r += 1
         if m["term"] is None:
@@ -155,24 +218,13 @@ def sentence_spans(text: str | None, lang: str | None = None, truncations: froze
             end += 1
         if k < len(regions) and regions[k][0] < end <= regions[k][1]:
             continue
-        if _ends(text, m["term"], at, end, since, quoted, lang, truncations):
+        if _ends(text, m["term"], at, end, since, quoted, lang, truncations, also):
             cuts.append(end)
             since = end
-    spans = []
-    start = 0
-    for cut in (*cuts, n):
-        s, e = start, cut
-        while s < e and text[s].isspace():
-            s += 1
-        while e > s and text[e - 1].isspace():
-            e -= 1
-        if s < e:
-            spans.append((s, e))
-        start = cut
-    return spans
+    return cuts
 
 
-def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lang: str | None, truncations: frozenset[str]) -> bool:
+def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lang: str | None, truncations: frozenset[str], also: frozenset[str]) -> bool:
     n = len(text)
     nxt = end
     while nxt < n and text[nxt].isspace():
@@ -197,9 +249,9 @@ def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lan
     if not gap:
         return (
             capital and nxt + 1 < n and bool(_SMALL.match(text, nxt + 1)) and len(word) > 1 and "." not in word
-            and low not in _ALWAYS and low not in _LOWER and "@" not in text[max(since, at - _WINDOW) : at]
+            and low not in _ALWAYS and low not in also and low not in _LOWER and "@" not in text[max(since, at - _WINDOW) : at]
         )
-    if low in _ALWAYS:
+    if low in _ALWAYS or low in also:
         return False
     if small and text[at - len(word) - 1 : at - len(word)] == "-" and _HYPHENED.search(text, max(since, at - _WINDOW), at)[0].lower() in truncations:
         return False

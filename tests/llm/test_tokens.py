@@ -11,6 +11,7 @@ import pytest
 
 from notaflux.llm import encoding as E
 from notaflux.llm import packing as P
+from notaflux.llm import sentences
 from notaflux.llm import splitting as S
 
 TEXTS = ["", None, "   ", "Olá, mundo! It's 3.14 <|endoftext|>\r\n\n  fim ", "a" * 3000, "x y " * 900, "漢字かな交じり文。" * 200, "1234567890" * 150, "\n" * 400, "ação " * 500 + "'s 'll", "é" * 700 + "🙂" * 300, "don't! " * 300]
@@ -121,7 +122,7 @@ def test_deepest_valley():
 
 def test_valleys_are_exact_on_documents():
     texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t) > 4000]
-    wordy = S._traits(E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER)[6]
+    wordy = S._traits(E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER)[-1]
     parts = E.encode_arrays([*texts, "", "1 2 3 " * 400, "ação " * 300], E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER)
     ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
     at = np.array([p for p in range(7, len(ids), 13) if p not in ends])
@@ -133,3 +134,24 @@ def test_valleys_are_exact_on_documents():
         scale = (sum(c * c for c in left.values()) * sum(c * c for c in right.values())) ** 0.5
         wanted.append(sum(c * right[t] for t, c in left.items()) / scale if scale else 0.0)
     assert len(texts) > 5 and np.allclose(S.valleys(ids, at, first, last, wordy, 96), wanted, atol=1e-6)
+
+
+def test_natural_cuts_are_ends_of_sentences_or_lines(spark):
+    body = ["Vistos os autos, fls. 265 e 266, Processo n. 9393408, Rel. Des. Mirtumundes; juros: at p. 428 sim.", "O recurso foi provido (art. 5 e art. 6)!", "内容を確認した。次の段落です。"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(body) + rng.choice([" ", " ", "\n", "\n\n"]) for _ in range(150)) for _ in range(6)]
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text", "lang"]).to_pylist()
+    rows = [(i, t, "pt") for i, t in enumerate(texts)] + [(100 + i, d["text"], d["lang"]) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    of = {i: (t, g) for i, t, g in rows}
+    ends = {}
+    got = S.split_texts(df, limit=128, overlap=8, block=24, lang="lang").where("cut_at = 'natural'").collect()
+    for r in got:
+        text, lang = of[r["doc_id"]]
+        if r["doc_id"] not in ends:  # over the whole text, not by paragraph
+            also = S._COURT.get(lang, S._COURT_ALL)
+            ends[r["doc_id"]] = set(sentences._cuts(text, sentences._regions(text), 0, len(text), lang, also=also))
+        before = text[: r["own_pos"]]
+        assert r["own_pos"] in ends[r["doc_id"]] or "\n" in before[len(before.rstrip()) :], text[r["own_pos"] - 30 : r["own_pos"] + 10]
+        assert not before.endswith(("fls.", " n.", "Des.", " p.", "art.", ";", ":"))
+    assert len(got) > 100
