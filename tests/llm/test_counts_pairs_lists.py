@@ -93,3 +93,20 @@ def test_equal_candidates_give_none(spark):
     entries = spark.createDataFrame([(1, "abcdefgx", "M"), (2, "abcdefgy", "M")], "term_id bigint, term string, entity_type string")
     values = spark.createDataFrame([("M", "abcdefgz")], "entity_type string, text string")
     assert C.match_list(values, entries).first()["term_id"] is None
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_runs_meet_over_batches_and_ranges(spark, batch):
+    rng = random.Random(batch)
+    rows = [(rng.choice("AB"), rng.choice(["hot", " HOT ", "cold", "", None]), rng.choice([None, 1, 2, 3, 4]), rng.choice([None, *range(60)])) for _ in range(900)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        df = spark.createDataFrame(rows, "g string, t string, r bigint, i bigint").repartition(5)
+        got = {(r["g"], r["term"]): (r["occurrences"], r["records"]) for r in T.term_counts(df, "g", "t", "r", "i").collect()}
+    finally:
+        spark.conf.set(key, old)
+    once = {(g, t.strip().lower(), r, i) for g, t, r, i in rows if t is not None}
+    keys = {x[:2] for x in once}
+    assert got == {k: (sum(x[:2] == k for x in once), len({x[2] for x in once if x[:2] == k and x[2] is not None})) for k in keys}

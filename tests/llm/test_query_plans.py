@@ -31,6 +31,11 @@ def test_term_counts_sort_in_ranges(spark):
     assert "rangepartitioning" in plan(Q.p7_counts(spark, SMALL))
 
 
+def test_term_counts_scan_sorted_rows(spark):
+    p = plan(Q.p7_counts(spark, SMALL))
+    assert p.index("MapInArrow") < p.index("Sort [g") < p.index("rangepartitioning")
+
+
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_every_query_runs(spark, name):
     assert Q.queries()[name](spark, SMALL).count() > 0 or name in ("p6_found", "p2_found")
