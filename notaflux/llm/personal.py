@@ -146,7 +146,7 @@ def name_chains(text: str, typed: list[tuple[str, int, int]]) -> list[tuple[int,
         run = [m]
         j = i + 1
         inverted = False
-        while j < len(words) and len(run) < 7:
+        while j < len(words):
             gap = text[run[-1].end() : words[j].start()]
             v = words[j][0]
             capital = v[0].isupper()

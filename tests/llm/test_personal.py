@@ -49,3 +49,10 @@ def test_empty_table(spark):
 def test_long_text_is_scanned_whole():
     text = "palavra Comum " * 30_000 + "CPF 467.799.859-00"
     assert typed(text) == [("identity", "467.799.859-00")]
+
+
+@pytest.mark.parametrize("name", ["Maria Aparecida de Souza da Silva dos Santos", "Ana " * 30 + "Lumireira"])
+def test_long_names_are_one_run(name):
+    text = f"Atendida pela Sra. {name}, sem queixas."
+    found = [c for c in P.name_chains(text, []) if c[5]]
+    assert text[found[0][3] : found[-1][4]] == name and len({c[0] for c in found}) == 1
