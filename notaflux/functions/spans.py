@@ -18,7 +18,7 @@ SPACE = r"[\t-\r\u001c- \u0085\p{Z}]"
 DIGIT = r"\p{Nd}"
 #: A word boundary that does not depend on the regex engine's own idea of letters.
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-_BLOCK = 64
+_BLOCK = 32
 MARKS = ("\u0001", "\u0002", "\u0003")
 
 
@@ -37,19 +37,36 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def starts(parts: Column) -> Column:
-    """Running sums of the lengths of ``parts`` before each: sums of blocks first, then within a block."""
+def running(values: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
+    """n + 1 running results of n numbers under an associative ``join``: within blocks first, then every block joins what
+    those before it give. Three levels, each of which is a short fold, so the work grows with n."""
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(zero), join)
+
+    def within(block: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(block)), lambda i: total(F.slice(block, F.lit(1), i)))
+
+    def blocks(numbers: Column, size: int) -> Column:
+        last = F.greatest(F.ceil(F.size(numbers) / size).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(numbers, b * size + 1, F.lit(size)))
+
+    def level(numbers: Column, above: Callable[[Column], Column]) -> Column:
+        """Running results of short blocks, moved by those of the blocks' totals, which ``above`` gives."""
+        parts = let(blocks(numbers, _BLOCK), lambda bs: let(above(F.transform(bs, total)), lambda at: F.flatten(F.transform(
+            bs, lambda b, i: F.transform(F.slice(within(b), F.lit(2), F.size(b)), lambda n: join(n, F.get(at, i)))))))
+        return F.when(F.size(numbers) <= _BLOCK, within(numbers)).otherwise(F.concat(F.array(F.lit(zero)), parts))
 
-    def of_lengths(lengths: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / _BLOCK).cast("int") - 1, F.lit(0))),
-            lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, x: s + x),
-        )
-        running = let(blocks, lambda bs: F.transform(bs, lambda _, b: F.aggregate(F.slice(bs, F.lit(1), b), F.lit(0), lambda s, x: s + x)))
-        return let(running, lambda before: F.transform(lengths, lambda _, i: F.get(before, F.floor(i / _BLOCK).cast("int")) + F.aggregate(
-            F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK), F.lit(0), lambda s, x: s + x)))
+    def copied(numbers: Column) -> Column:
+        """For the few totals of the third level: a fold that copies its result at every step."""
+        return F.aggregate(numbers, F.array(F.lit(zero)), lambda done, n: F.concat(done, F.array(join(F.element_at(done, -1), n))))
 
-    return let(F.transform(parts, F.length), of_lengths)
+    return let(values, lambda v: level(v, lambda t: let(t, lambda u: level(u, copied))))
+
+
+def starts(parts: Column) -> Column:
+    """Running sums of the lengths of ``parts`` before each."""
+    return running(F.transform(parts, F.length), 0, lambda a, b: a + b)
 
 
 def pieces(text: Column, pattern: str, replacement: str = "\u0001$0\u0002") -> Column:
@@ -59,6 +76,11 @@ def pieces(text: Column, pattern: str, replacement: str = "\u0001$0\u0002") -> C
         x.alias("part"), F.get(s, i).alias("start"), (i % 2 == 1).alias("matched")))))
 
 
+def _surface(text: Column, part: Column, start: Column) -> Column:
+    """A match as the text has it: the part itself, cut from the text only where a replaced mark may lie inside."""
+    return F.when(F.contains(part, F.lit("�")), F.substring(text, start + 1, F.length(part))).otherwise(part)
+
+
 def tagged(text: Column, patterns: Sequence[str], before: str = "", after: str = "") -> Column:
     """ARRAY<STRUCT<text, start, end, tag>> of one scan with several patterns: at each place the first that fits wins, and
     ``tag`` is its number. Each pattern writes its own place into the mark, so the tag is the place that is not empty.
@@ -71,7 +93,7 @@ def tagged(text: Column, patterns: Sequence[str], before: str = "", after: str =
     def read(p: Column) -> Column:
         return let(F.transform(p, lambda x: F.translate(x, "\u0003", "")), lambda w: let(starts(w), lambda at: F.transform(
             F.filter(F.transform(w, lambda t, i: F.struct(t.alias("t"), F.get(at, i).alias("start"), i.alias("i"))), lambda t: t.i % 2 == 1),
-            lambda t: F.struct(F.substring(text, t.start + 1, F.length(t.t)).alias("text"), t.start.alias("start"), (t.start + F.length(t.t)).alias("end"), place(F.get(p, t.i)).alias("tag")))))
+            lambda t: F.struct(_surface(text, t.t, t.start).alias("text"), t.start.alias("start"), (t.start + F.length(t.t)).alias("end"), place(F.get(p, t.i)).alias("tag")))))
 
     return F.coalesce(let(parts, read), F.array().cast("array<struct<text:string,start:int,end:int,tag:int>>"))
 
@@ -82,7 +104,7 @@ def spans(text: Column, pattern: str) -> Column:
     The surface is cut from the original text, so marks in it survive.
     """
     found = F.transform(F.filter(pieces(text, pattern), lambda p: p.matched), lambda p: F.struct(
-        F.substring(text, p.start + 1, F.length(p.part)).alias("text"), p.start.alias("start"), (p.start + F.length(p.part)).alias("end")))
+        _surface(text, p.part, p.start).alias("text"), p.start.alias("start"), (p.start + F.length(p.part)).alias("end")))
     return F.coalesce(found, F.array().cast("array<struct<text:string,start:int,end:int>>"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notaflux.functions.patterns import edges, either
-from notaflux.functions.spans import let, without_marks
+from notaflux.functions.spans import let
 from notaflux.functions.vocab import Abbreviations
 
 log = logging.getLogger(__name__)
@@ -59,14 +59,19 @@ def lookup(abbreviation: Column, known: Abbreviations | None = None) -> Column:
 def expand(text: Column, known: Abbreviations | None = None, inline: bool = True) -> Column:
     """The text with its abbreviations expanded in place, or followed by their expansion in brackets."""
     known = known or Abbreviations.builtin()
-    marked = F.split(F.regexp_replace(without_marks(text), F.lit(matcher(known)), F.lit("\u0001$0\u0001")), "\u0001", -1)
+    # the mark is written in another way where the text itself holds it, and restored at the end
+    free = F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002\u0004")), F.lit("\u0001"), F.lit("\u0002\u0003"))
+    marked = F.split(F.regexp_replace(free, F.lit(matcher(known)), F.lit("\u0001$0\u0001")), "\u0001", -1)
 
     def written(part: Column, i: Column) -> Column:
         full = F.nullif(lookup(part, known), F.lit(""))
         new = F.coalesce(full, part) if inline else F.when(full.isNull(), part).otherwise(F.concat(part, F.lit(" ("), full, F.lit(")")))
         return F.when(i % 2 == 1, new).otherwise(part)
 
-    return F.when(text == "", "").otherwise(let(marked, lambda parts: F.array_join(F.transform(parts, written), "")))
+    def restored(t: Column) -> Column:
+        return F.replace(F.replace(t, F.lit("\u0002\u0003"), F.lit("\u0001")), F.lit("\u0002\u0004"), F.lit("\u0002"))
+
+    return F.when(text == "", "").otherwise(restored(let(marked, lambda parts: F.array_join(F.transform(parts, written), ""))))
 
 
 def dictionary(spark: SparkSession, known: Abbreviations | None = None) -> DataFrame:

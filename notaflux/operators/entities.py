@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
 from notaflux.functions.patterns import DOSE_EDGES, DOSE_FORMS, LABS, edges, either
-from notaflux.functions.spans import WORD, exploded, spans, tagged
+from notaflux.functions.spans import WORD, exploded, let, running, spans, tagged
 from notaflux.functions.vocab import DEFAULT_COLOR, ENTITY_TYPES, Gazetteers
 
 ENTITY = "struct<text:string,entity_type:string,start:int,end:int,confidence:double,source:string,metadata:map<string,string>>"
@@ -30,12 +30,24 @@ def _entities(text: Column, kinds: Kinds, before: str = "", after: str = "") ->
         F.get(confidence, s.tag).alias("confidence"), F.get(source, s.tag).alias("source")))
 
 
-def by_words(terms: tuple[str, ...]) -> dict[int, list[str]]:
-    """Terms by their number of words: two terms of one size never start at one place."""
-    out: dict[int, list[str]] = {}
+def apart(terms: tuple[str, ...]) -> list[list[str]]:
+    """Terms in classes of which no two can share a word of a text, so that one scan finds every place of each term.
+
+    Terms of one word come first, as they cannot overlap each other.
+    """
+    classes: list[tuple[int, list[str], set, set]] = []
     for t in terms:
-        out.setdefault(len(t.replace("-", " ").split()), []).append(t)
-    return out
+        words = tuple(t.lower().replace("-", " ").split())
+        heads, tails = ({w for k in range(1, len(words) + 1) for w in [cut(k)]} for cut in (lambda k: words[:k], lambda k: words[-k:]))
+        fits = (c for c in classes if c[0] == len(words) and not heads & c[3] and not tails & c[2])
+        home = next(fits, None)
+        if home is None:
+            home = (len(words), [], set(), set())
+            classes.append(home)
+        home[1].append(t)
+        home[2].update(heads)
+        home[3].update(tails)
+    return [own for _, own, *_ in sorted(classes, key=lambda c: c[0])]
 
 
 def dosages(text: Column) -> Column:
@@ -49,19 +61,26 @@ def lab_values(text: Column) -> Column:
 
 
 def terms(text: Column, vocabulary: Gazetteers | None = None) -> Column:
-    """One scan for each number of words, over all types; the rare longer terms are scanned only in texts that hold one."""
-    scans: dict[int, Kinds] = {}
-    listed: dict[int, list[str]] = {}
-    for k, (kind, words) in enumerate((vocabulary or Gazetteers()).by_type()):
-        for n, own in by_words(words).items():
-            scans.setdefault(n, []).append((either(own), kind, TERM_CONFIDENCE, "gazetteer", 20 + k))
-            listed.setdefault(n, []).extend(own)
+    """A scan for each class of terms that cannot overlap, over all types, so overlapping terms are all candidates; terms
+    of several words are scanned only in texts that hold one."""
+    listed = (vocabulary or Gazetteers()).by_type()
+    scans: list[tuple[list[str], Kinds, bool]] = []
+    for k, (kind, words) in enumerate(listed):
+        for own in apart(words):
+            single = len(own[0].replace("-", " ").split()) == 1
+            # a class joins a scan of other types whose terms it cannot overlap
+            home = next((s for s in scans if s[2] == single and len(apart((*s[0], *own))) == 1), None)
+            if home is None:
+                home = ([], [], single)
+                scans.append(home)
+            home[0].extend(own)
+            home[1].append((either(own), kind, TERM_CONFIDENCE, "gazetteer", 20 + k))
     none = F.array().cast("array<struct<order:int,text:string,entity_type:string,start:int,end:int,confidence:double,source:string>>")
     found = []
-    for n, kinds in sorted(scans.items()):
-        before, after = edges(listed[n])
+    for own, kinds, single in scans:
+        before, after = edges(own)
         scan = _entities(text, kinds, before, after)
-        found.append(scan if n == 1 else F.when(text.rlike(f"{before}(?:{'|'.join(k[0] for k in kinds)}){after}"), scan).otherwise(none))
+        found.append(scan if single else F.when(text.rlike(f"{before}(?:{'|'.join(k[0] for k in kinds)}){after}"), scan).otherwise(none))
     return F.concat(none, *found)
 
 
@@ -70,14 +89,41 @@ def candidates(text: Column, vocabulary: Gazetteers | None = None) -> Column:
     return F.concat(dosages(text), lab_values(text), terms(text, vocabulary))
 
 
+_BY_RANK = ("k1", "k2", "k3", "start", "end", "text", "entity_type", "confidence", "source")
+_RANKED = "struct<k1:int,k2:double,k3:int,start:int,end:int,text:string,entity_type:string,confidence:double,source:string>"
+_FEW = 24
+
+
+def _in_order(found: Column, fields: tuple[str, ...]) -> Column:
+    return F.transform(found, lambda e: F.struct(*[e.getField(f).alias(f) for f in fields]))
+
+
+def _clusters(placed: Column) -> Column:
+    """ARRAY<ARRAY> of candidates in the order of their starts: one ends where the next begins after all before have ended."""
+    until = running(F.transform(placed, lambda e: e.end), -1, lambda a, b: F.greatest(a, b))
+    first = let(until, lambda u: F.array_compact(F.transform(placed, lambda e, i: F.when(e.start >= F.get(u, i), i))))
+    return let(first, lambda at: F.transform(at, lambda b, i: F.slice(placed, b + 1, F.coalesce(F.get(at, i + 1), F.size(placed)) - b)))
+
+
 def resolve(found: Column) -> Column:
     """The candidates that remain, longest first, then most confident, then in the order of the patterns and of the text;
-    one that shares a character with a kept one goes."""
-    ordered = F.array_sort(F.transform(found, lambda e: F.struct(
-        (e.start - e.end).alias("k1"), (-e.confidence).alias("k2"), e.order.alias("k3"), e.start.alias("start"), e.end.alias("end"), e.text.alias("text"),
+    one that shares a character with a kept one goes.
+
+    Candidates are judged in clusters of overlapping ones, so the work grows with their number.
+    """
+    placed = F.sort_array(F.transform(found, lambda e: F.struct(
+        e.start.alias("start"), e.end.alias("end"), (e.start - e.end).alias("k1"), (-e.confidence).alias("k2"), e.order.alias("k3"), e.text.alias("text"),
         e.entity_type.alias("entity_type"), e.confidence.alias("confidence"), e.source.alias("source"))))
-    empty = F.array().cast("array<struct<k1:int,k2:double,k3:int,start:int,end:int,text:string,entity_type:string,confidence:double,source:string>>")
-    return F.aggregate(ordered, empty, lambda kept, e: F.when(F.exists(kept, lambda k: (k.start < e.end) & (e.start < k.end)), kept).otherwise(F.concat(kept, F.array(e))))
+    none = F.array().cast(f"array<{_RANKED}>")
+
+    def judged(cluster: Column) -> Column:
+        """Of one cluster what is kept; most clusters are single."""
+        ranked = _in_order(cluster, _BY_RANK)
+        return F.when(F.size(cluster) < 2, ranked).otherwise(F.aggregate(F.sort_array(ranked), none, lambda kept, e: F.when(
+            F.exists(kept, lambda k: (k.start < e.end) & (e.start < k.end)), kept).otherwise(F.concat(kept, F.array(e)))))
+
+    # a handful of candidates is one cluster: the same result without looking for the places where nothing overlaps
+    return let(placed, lambda p: F.when(F.size(p) <= _FEW, judged(p)).otherwise(F.sort_array(F.flatten(F.transform(_clusters(p), judged)))))
 
 
 def extract(text: Column, conf: EngineConf | None = None, vocabulary: Gazetteers | None = None) -> Column:
@@ -85,7 +131,7 @@ def extract(text: Column, conf: EngineConf | None = None, vocabulary: Gazetteers
     are resolved, and the limit keeps the longest."""
     conf = conf or EngineConf()
     kept = F.slice(F.filter(resolve(candidates(text, vocabulary)), lambda e: e.confidence >= conf.confidence_threshold), 1, conf.max_entities_per_text)
-    placed = F.array_sort(F.transform(kept, lambda e: F.struct(e.start.alias("start"), (-e.end).alias("k"), e.end.alias("end"), e.text.alias("text"),
+    placed = F.sort_array(F.transform(kept, lambda e: F.struct(e.start.alias("start"), (-e.end).alias("k"), e.end.alias("end"), e.text.alias("text"),
                                                                e.entity_type.alias("entity_type"), e.confidence.alias("confidence"), e.source.alias("source"))))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return F.transform(placed, lambda e: F.struct(e.text.alias("text"), e.entity_type.alias("entity_type"), e.start.alias("start"), e.end.alias("end"),
@@ -102,20 +148,26 @@ def entity_rows(with_entities: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "entity_no", "x.text", "x.entity_type", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"), "x.confidence", "x.source")
 
 
-def gazetteer_join(notes: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", most_words: int = 4) -> DataFrame:
+def gazetteer_join(notes: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, entity_type, start_pos, end_pos) of the terms of a vocabulary table (term, entity_type) of any size.
 
     Each word of a text meets the terms that begin with it in one equi-join, which Spark broadcasts if the vocabulary's
-    size allows; the words that follow are compared after it. ``most_words``: the words of the longest term.
+    size allows; the words that follow are compared after it. A row of a word carries the words up to the length of the
+    longest term and not the text. Terms of any number of words are found.
     """
     runs = lambda c: F.regexp_extract_all(c, F.lit(f"({WORD}+)"), F.lit(1))
     begun = vocabulary.select("term", "entity_type", F.get(runs(F.col("term")), F.lit(0)).alias("first"), F.size(runs(F.col("term"))).alias("n"))
-    words = notes.select(key, F.col(text).alias("__t"), spans(F.col(text), rf"{WORD}+").alias("w"))
-    rows = words.select(key, "__t", F.explode_outer(F.transform("w", lambda a, i: F.struct(
-        F.lower(a.text).alias("first"), a.start.alias("start"), F.transform(F.slice(F.col("w"), i + 1, F.lit(most_words)), lambda b: b.end).alias("ends")))).alias("g")).select(key, "__t", "g.*")
+    most = begun.agg(F.coalesce(F.max("n"), F.lit(0)).alias("__most"))  # one row
+    words = notes.select(F.col(key).alias("__key"), F.col(text).alias("__t"), spans(F.col(text), rf"{WORD}+").alias("w")).crossJoin(F.broadcast(most))
+
+    def ahead(a: Column, i: Column) -> Column:
+        return let(F.transform(F.slice(F.col("w"), i + 1, F.col("__most")), lambda b: b.end), lambda ends: F.struct(
+            F.lower(a.text).alias("first"), a.start.alias("start"), ends.alias("ends"), F.substring(F.col("__t"), a.start + 1, F.element_at(ends, -1) - a.start).alias("lead")))
+
+    rows = words.where("__most > 0").select("__key", F.explode_outer(F.transform("w", ahead)).alias("g")).select("__key", "g.*")
     met = rows.join(begun, "first").withColumn("end", F.get("ends", F.col("n") - 1))
-    own = F.substring(F.col("__t"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return met.where(F.lower(own) == F.col("term")).select(key, own.alias("text"), "entity_type", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+    own = F.substring(F.col("lead"), F.lit(1), F.col("end") - F.col("start"))
+    return met.where(F.lower(own) == F.col("term")).select(F.col("__key").alias(key), own.alias("text"), "entity_type", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 def vocabulary_table(spark: SparkSession, vocabulary: Gazetteers | None = None) -> DataFrame:

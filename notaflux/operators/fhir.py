@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
-from notaflux.functions.spans import exploded, let
+from notaflux.functions.spans import let
 
 # Code systems, codes and texts of the resources.
 CLINICAL_STATUS = ("http://terminology.hl7.org/CodeSystem/condition-clinical", "active", "Active")
@@ -49,6 +49,12 @@ def _coding(values: tuple[str, str, str]) -> Column:
     return F.struct(F.array(F.struct(F.lit(system).alias("system"), F.lit(code).alias("code"), F.lit(display).alias("display"))).alias("coding"))
 
 
+def patient_of(column: str | None, conf: EngineConf | None = None) -> Column:
+    """The patient of each note: a column, and the configured one where there is none or it is null."""
+    fallback = F.lit((conf or EngineConf()).patient_id)
+    return F.coalesce(F.col(column).cast("string"), fallback) if column else fallback
+
+
 def resource_type(entity_type: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in RESOURCES.items() for x in pair]), entity_type)
 
@@ -106,8 +112,9 @@ def composition(summary: Column, key: Column, patient: Column | None = None, con
         F.struct(F.concat(F.lit("Patient/"), patient).alias("reference")).alias("subject"), _moment(conf).alias("date"), F.lit(COMPOSITION_TITLE).alias("title"), sections(summary).alias("section")))
 
 
-def resource_rows(notes: DataFrame, key: str = "doc_id", conf: EngineConf | None = None) -> DataFrame:
-    """(key, entity_no, resource_type, resource) of every entity that becomes a resource."""
+def resource_rows(notes: DataFrame, key: str = "doc_id", conf: EngineConf | None = None, patient: str | None = None) -> DataFrame:
+    """(key, entity_no, resource_type, resource) of every entity that becomes a resource; ``patient`` as in ``patient_of``."""
     conf = conf or EngineConf()
-    rows = exploded(notes, key, F.col("entities"), "entity_no")
-    return rows.select(key, "entity_no", resource_type(F.col("x.entity_type")).alias("resource_type"), resource(F.col("x"), F.col(key), F.lit(conf.patient_id), conf).alias("resource")).where("resource is not null")
+    slim = notes.select(key, "entities", patient_of(patient, conf).alias("__patient"))
+    rows = slim.select(key, "__patient", F.posexplode_outer("entities").alias("entity_no", "x")).where("entity_no is not null")
+    return rows.select(key, "entity_no", resource_type(F.col("x.entity_type")).alias("resource_type"), resource(F.col("x"), F.col(key), F.col("__patient"), conf).alias("resource")).where("resource is not null")

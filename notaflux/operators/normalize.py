@@ -7,18 +7,33 @@ protected where it stands (not at the first equal string of the text). Null stay
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
 from notaflux.functions.patterns import PROTECTED
-from notaflux.functions.spans import let, strip, without_marks
+from notaflux.functions.spans import let, strip
 
 # Symbols and what they are written as.
 SYMBOLS_FROM = "–—‘’“”•ºª²³"
 SYMBOLS_TO = "--''\"\"-oa23"
 DEGREE, DEGREE_WORD = "°", " graus "
 _KEEP = ("\u0004", "\u0005", "\u0006", "\u0007")
+# control characters that the marks of this package use; all of them are stripped alike, so one may stand for another
+_CONTROLS, _STAND_IN = "".join(map(chr, range(1, 8))), "\u0008"
+
+
+@cache
+def combining_class() -> str:
+    """A character class of the code points with a canonical combining class (not all marks have one), from Unicode data."""
+    points = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    firsts = [c for c, before in zip(points, [-2, *points], strict=False) if c != before + 1]
+    lasts = [c for c, after in zip(points, [*points[1:], -2], strict=True) if c != after - 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(firsts, lasts, strict=True)) + "]"
 
 
 def nfc(text: Column) -> Column:
@@ -27,9 +42,9 @@ def nfc(text: Column) -> Column:
 
 
 def remove_accents(text: Column) -> Column:
-    """Compatibility decomposition without combining marks."""
+    """Compatibility decomposition without characters of a combining class: vowel signs, which have none, stay."""
     apart = F.when(text.isNotNull(), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True)))
-    return F.regexp_replace(apart, r"\p{Mn}", "")
+    return F.regexp_replace(apart, F.lit(combining_class()), F.lit(""))
 
 
 def symbols(text: Column) -> Column:
@@ -67,7 +82,7 @@ def protected(text: Column) -> Column:
 def normalize(text: Column, conf: EngineConf | None = None) -> Column:
     """The whole normalisation of one text column."""
     conf = conf or EngineConf()
-    clean = F.translate(without_marks(text), "".join(_KEEP), "�" * len(_KEEP))
+    clean = F.translate(text, _CONTROLS, _STAND_IN * len(_CONTROLS))
 
     def changed(t: Column) -> Column:
         t = symbols(nfc(t))

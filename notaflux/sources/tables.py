@@ -35,10 +35,12 @@ def once(df: DataFrame, key: str, first_by: str | None = None, *columns: str) ->
     """One row per ``key``: the least by ``first_by``, then by the kept columns, so ties are settled alike on every run.
 
     Only ``columns`` (all, if none are named) survive and are shuffled, partially aggregated before the shuffle.
-    Rows without a key are kept as one row, as SQL grouping does.
+    Rows without a key are nobody's repetition: all of them are kept as they stand, and none of them is shuffled.
     """
     kept = [c for c in (columns or df.columns) if c != key]
     order: list[Column] = [F.col(f"`{first_by}`").alias("__by")] if first_by else []
     packed = F.struct(*order, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    least = df.groupBy(F.col(f"`{key}`")).agg(F.min(packed).alias("__row"))
-    return least.select(F.col(f"`{key}`"), *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(kept)])
+    keyed = df.where(F.col(f"`{key}`").isNotNull())
+    least = keyed.groupBy(F.col(f"`{key}`")).agg(F.min(packed).alias("__row")).select(F.col(f"`{key}`"), *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(kept)])
+    # statistics of the files let a scan pass over tables without such rows
+    return least.unionByName(df.where(F.col(f"`{key}`").isNull()).select(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in kept]))

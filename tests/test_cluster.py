@@ -31,3 +31,17 @@ def test_cut_runs_the_stage_once(spark):
 def test_spread_leaves_wide_tables(spark):
     assert cluster.spread(spark.range(100).repartition(9)).rdd.getNumPartitions() == 9
     assert cluster.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cuts_go_with_their_block(spark):
+    import os
+
+    with cluster.cuts(spark):
+        path = cluster.cut(spark.range(3)).inputFiles()[0].removeprefix("file:").replace("//", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_private_folders_are_named():
+    assert cluster.looks_private("file:///tmp/x") and cluster.looks_private("/tmp") and cluster.looks_private("file:/var/tmp/a")
+    assert not any(map(cluster.looks_private, ("hdfs://nn/tmp/x", "s3a://b/tmp", "/mnt/shared/tmp", "file:///mnt/shared")))

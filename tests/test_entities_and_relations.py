@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from notaflux.conf import EngineConf
+from notaflux.functions.vocab import Gazetteers
 from notaflux.operators import entities, fhir, relations, summaries
 from notaflux.plans import pipeline
 
@@ -124,3 +128,49 @@ def test_generated_retries(spark, tmp_path):
 
     df = spark.createDataFrame([(1, "abc")], "doc_id bigint, prompt string").coalesce(1)
     assert summaries.generated(df, client, wait=0.01).first()["summary"] == "ABC"
+
+
+OVERLAPPING = Gazetteers(medications=("dipirona",), conditions=("dor aguda", "aguda persistente", "persistente grave e longa", "dor", "um dois tres quatro cinco", "e longa dor"), procedures=("dor aguda", "grave e"))
+
+
+def by_hand(text, vocabulary):
+    """Every place of every term, then the longest first."""
+    found = [(m.start(), m.end(), k, kind) for k, (kind, words) in enumerate(vocabulary.by_type()) for w in words for m in re.finditer(rf"\b{re.escape(w)}\b", text.lower())]
+    kept = []
+    for c in sorted(found, key=lambda c: (c[0] - c[1], c[2], c[0])):
+        if all(c[1] <= k[0] or c[0] >= k[1] for k in kept):
+            kept.append(c)
+    return found, sorted(kept)
+
+
+@pytest.mark.parametrize("text", ["dor aguda persistente", "Dor aguda persistente grave e longa dor aguda", "um dois tres quatro cinco um dois", "", "dipirona"])
+def test_overlapping_terms_are_all_candidates(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found, kept = by_hand(text, OVERLAPPING)
+    row = df.select(entities.candidates(F.col("text"), OVERLAPPING).alias("c"), entities.extract(F.col("text"), vocabulary=OVERLAPPING).alias("e")).first()
+    assert sorted((c["start"], c["end"], c["entity_type"]) for c in row["c"]) == sorted((s, e, kind) for s, e, _, kind in found)
+    assert [(e["start"], e["end"], e["entity_type"]) for e in row["e"]] == [(s, e, kind) for s, e, _, kind in kept]
+    joined = entities.gazetteer_join(df, entities.vocabulary_table(spark, OVERLAPPING)).collect()
+    assert sorted((r["start_pos"], r["end_pos"], r["entity_type"]) for r in joined) == sorted((s, e, kind) for s, e, _, kind in found)
+
+
+def test_resolution_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (0, 1, 7, 60, 1500):
+        spans = [(rng.randrange(4 * n), rng.randrange(1, 9)) for _ in range(n)]
+        rows.append(([(k, "x" * size, "T", at, at + size, rng.choice([0.8, 0.9]), "s") for k, (at, size) in enumerate(spans)],))
+    df = spark.createDataFrame(rows, "c array<struct<order:int,text:string,entity_type:string,start:int,end:int,confidence:double,source:string>>")
+    for r in df.select("c", entities.resolve(F.col("c")).alias("k")).collect():
+        kept = []
+        for c in sorted(r["c"], key=lambda c: (c["start"] - c["end"], -c["confidence"], c["order"], c["start"])):
+            if all(c["end"] <= k["start"] or c["start"] >= k["end"] for k in kept):
+                kept.append(c)
+        assert [(k["start"], k["end"], k["k3"]) for k in r["k"]] == [(k["start"], k["end"], k["order"]) for k in kept]
+
+
+def test_a_long_note_takes_seconds(spark):
+    text = "paciente com febre e dor, usa dipirona 500mg 6/6h. " * 6_000
+    began = time.perf_counter()
+    assert spark.createDataFrame([(text,)], "text string").select(F.size(entities.resolve(entities.candidates(F.col("text"))))).first()[0] == 24_000
+    assert time.perf_counter() - began < 30

@@ -17,8 +17,8 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_once_takes_the_first_and_settles_ties(spark):
     d = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, d, "b"), (1, d, "a"), (1, dt.datetime(2025, 1, 1), "0"), (2, None, None), (None, d, "x")], "id bigint, at timestamp, text string")
-    assert sorted((str(r["id"]), str(r["text"])) for r in tables.once(df, "id", "at", "text").collect()) == [("1", "a"), ("2", "None"), ("None", "x")]
+    df = spark.createDataFrame([(1, d, "b"), (1, d, "a"), (1, dt.datetime(2025, 1, 1), "0"), (2, None, None), (None, d, "x"), (None, d, "x"), (None, None, "y")], "id bigint, at timestamp, text string")
+    assert sorted((str(r["id"]), str(r["text"])) for r in tables.once(df, "id", "at", "text").collect()) == [("1", "a"), ("2", "None"), ("None", "x"), ("None", "x"), ("None", "y")]
     assert tables.once(df.limit(0), "id", "at").count() == 0
 
 
@@ -65,3 +65,19 @@ def test_registered_queries_run(spark, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_configured_dictionary_reaches_the_flow(spark, tmp_path):
+    path = tmp_path / "more.json"
+    path.write_text('{"XYZ": "Xis Ipsilon"}', encoding="utf-8")
+    df = spark.createDataFrame([(1, "paciente XYZ")], "doc_id bigint, text string")
+    conf = EngineConf.from_mapping({"preprocessing": {"abbreviation_dict_path": str(path), "lowercase": False}})
+    assert pipeline.expanded(df, conf=conf).first()["expanded"] == "paciente Xis Ipsilon"
+    assert pipeline.report(df, conf=conf).first()["expanded"] == "paciente XYZ (Xis Ipsilon)"
+
+
+def test_patient_of_each_note(spark):
+    df = spark.createDataFrame([(1, "p-7", "febre"), (2, None, "tosse")], "doc_id bigint, who string, text string")
+    made = pipeline.documents_of(pipeline.expanded(df), patient="who").orderBy("doc_id").collect()
+    assert ['"Patient/p-7"' in r["bundle"] and '"Patient/p-7"' in r["composition"] for r in made] == [True, False]
+    assert '"Patient/synthetic-patient-001"' in made[1]["bundle"]
