@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notaflux.cluster import cut, small_batches
-from notaflux.llm.encoding import DEFAULT_TOKENIZER, TOKENIZER_DIR, encoder
+from notaflux.cluster import cut
+from notaflux.llm.encoding import DEFAULT_TOKENIZER, TOKENIZER_DIR, encoder, few_rows
 
 PLACED = "key bigint, piece int, pieces int, size int, bin string, fill int, node int"
 
@@ -62,11 +62,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
 
 def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", directory: str = TOKENIZER_DIR, name: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(key, tokens) of each text."""
-    small_batches(texts.sparkSession)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(directory, name)._core_bpe.encode_ordinary
-        for b in batches:
+        for b in few_rows(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int32())], names=["key", "tokens"])
 
     return texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t")).mapInArrow(count, "key bigint, tokens int")
@@ -138,6 +136,8 @@ def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.995, fan_in: in
             step = moved.select(F.col("bin").alias("into"), F.col("into").alias("further"))
             moved = moved.join(step, "into", "left").select("bin", F.coalesce("further", "into").alias("into"))
         placed = placed.join(moved, "bin", "left").withColumn("bin", F.coalesce("into", "bin")).drop("into")
-    total = placed.groupBy("bin").agg(F.sum("size").cast("int").alias("total"))
-    changed = placed.drop("fill", "node").join(total, "bin")
-    return changed.select(F.nullif(F.col("key"), no_key).alias("key"), "piece", "pieces", "size", "bin", F.col("total").alias("fill"))
+    # what takes no room lies in one container, however many they are, and needs no sum
+    empty, filled = placed.where("size = 0"), placed.where("size > 0").drop("fill", "node")
+    total = filled.groupBy("bin").agg(F.sum("size").cast("int").alias("fill"))
+    columns = [F.nullif(F.col("key"), no_key).alias("key"), "piece", "pieces", "size", "bin", "fill"]
+    return filled.join(total, "bin").select(*columns).unionByName(empty.select(*columns))

@@ -2,8 +2,8 @@
 
 Lexical cohesion decides where: at every natural boundary (the end of a sentence by the rules of ``sentences``, with the
 abbreviations of court decisions by language, or of a line) the words of the block before
-and of the block after are compared, and the deepest valley of similarity within the window that the limit leaves is the
-cut. Without a natural boundary in the window the last gap between words is taken, without any gap the last character.
+and of the block after are compared. The depth of a boundary is how far the similarity climbs from it to the next peak on
+its left plus to the next on its right, and the deepest valley within the window that the limit leaves is the cut. Without a natural boundary in the window the last gap between words is taken, without any gap the last character.
 Each piece but the first then repeats up to ``overlap`` tokens of the one before, from a gap between words.
 
 Block similarities are exact cosines of token counts. Equal tokens near each other are paired once over a batch of
@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notaflux.cluster import small_batches
-from notaflux.llm.encoding import DEFAULT_TOKENIZER, TOKENIZER_DIR, encode_arrays, token_bytes
+from notaflux.llm.encoding import DEFAULT_TOKENIZER, TOKENIZER_DIR, encode_arrays, few_rows, token_bytes
 from notaflux.llm.sentences import BEFORE_END, SentenceEnds
 
 _CUT = "key bigint, piece_no int, pieces int, start_pos bigint, own_pos bigint, end_pos bigint, n_tokens int, n_overlap int, tokens int, cut_at string"
@@ -99,18 +98,40 @@ def valleys(ids: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray
     return np.where(scale > 0, product[here] / np.maximum(scale, 1e-9), 0.0)
 
 
+def depths(similarity: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Depth of each boundary: the climb to the peak on its left plus the climb to the peak on its right.
+
+    ``first``: where the boundaries of each text begin; a climb ends at the ends of its text. Boundaries of equal
+    similarity are one slope.
+    """
+    if not len(similarity):
+        return similarity.astype(float)
+    place = np.arange(len(similarity))
+
+    def peak(s: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The value at the top of the slope that comes down to each place from the left."""
+        top = begins | np.concatenate([[True], s[:-1] < s[1:]])
+        return s[np.maximum.accumulate(np.where(top, place, 0))]
+
+    begins, ends = np.zeros(len(similarity), bool), np.zeros(len(similarity), bool)
+    begins[first[first < len(similarity)]] = True
+    ends[:-1], ends[-1] = begins[1:], True
+    return peak(similarity, begins) + peak(similarity[::-1], ends[::-1])[::-1] - 2 * similarity
+
+
 def cuts_of(
-    n: int, natural: np.ndarray, similarity: np.ndarray, gaps: np.ndarray, whole: np.ndarray, limit: int, overlap: int, slack: float,
+    n: int, natural: np.ndarray, similarity: np.ndarray, depth: np.ndarray, gaps: np.ndarray, whole: np.ndarray, limit: int, overlap: int, slack: float,
     ends: Callable[[int], bool] = lambda _: True,
 ) -> list[tuple[int, int, str]]:
     """(overlap start, own start, kind of cut before) of each piece of a text of ``n`` tokens; positions are tokens of it.
 
     ``natural``, ``gaps``: sorted positions of natural boundaries and of gaps between words; ``whole``: mask of positions
-    at which a character begins. ``ends``: whether a natural boundary is one, asked from the deepest valley on.
+    at which a character begins. ``ends``: whether a natural boundary is one, asked from the deepest valley on; of equal
+    depths the lower similarity, then the first.
     """
 
     def deepest(i: int, j: int) -> int | None:
-        return next((int(natural[i + k]) for k in np.argsort(similarity[i:j], kind="stable") if ends(int(natural[i + k]))), None)
+        return next((int(natural[i + k]) for k in np.lexsort((similarity[i:j], -depth[i:j])) if ends(int(natural[i + k]))), None)
 
     pieces = [(0, 0, "start")]
     own = begin = 0
@@ -143,25 +164,18 @@ def cuts_of(
     return pieces
 
 
-def split_texts(
-    texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1024, overlap: int = 64, block: int = 96, slack: float = 0.5,
-    with_piece: bool = False, lang: str | None = None, directory: str = TOKENIZER_DIR, name: str = DEFAULT_TOKENIZER,
-) -> DataFrame:
-    """One row per piece of the texts of more than ``limit`` tokens: (key, piece_no, pieces, start_pos, own_pos, end_pos,
-    n_tokens, n_overlap, tokens, cut_at). Positions are code points; [start_pos, own_pos) repeats the piece before.
+def _shape(with_piece: bool) -> str:
+    return _CUT + ", piece string" * with_piece
 
-    ``block``: tokens of a block that is compared; ``slack``: share of the room that a piece must fill before a natural
-    boundary is taken, if one lies beyond. ``with_piece`` adds ``piece``, the text of each piece including its overlap.
-    ``lang``: the column with the language of each text; without it, or where it is null or not known, the abbreviations
-    of all languages count.
-    """
-    shape = _CUT + ", piece string" * with_piece
-    small_batches(texts.sparkSession)
+
+def cutter(limit: int, overlap: int, block: int, slack: float, with_piece: bool, directory: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What cuts batches of (key, text, language); the parameters are those of ``split_texts``."""
+    shape = _shape(with_piece)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, begun, spaced, whole, line, wordy = _traits(directory, name)
         may_end, thai = _signs()
-        for b in batches:
+        for b in few_rows(batches):
             keys, whole_texts, langs = (b.column(c).to_pylist() for c in range(3))
             found = encode_arrays(whole_texts, directory, name)
             long = [i for i, ids in enumerate(found) if len(ids) > limit]
@@ -183,13 +197,14 @@ def split_texts(
                 doc = np.searchsorted(starts, natural, "right") - 1
                 similarity = valleys(ids, natural, starts[doc], starts[doc + 1], wordy, block)
                 a, g = np.searchsorted(natural, starts), np.searchsorted(gaps, starts)
+                depth = depths(similarity, a[:-1])
                 can = whole[ids]
                 for d, i in enumerate(long):
                     s, e = int(starts[d]), int(starts[d + 1])
                     ends = SentenceEnds(whole_texts[i], langs[i], _COURT.get(langs[i], _COURT_ALL))
                     at = chars[s:e] - chars[s]
                     of_line = is_line[s:e]
-                    pieces = cuts_of(e - s, natural[a[d] : a[d + 1]] - s, similarity[a[d] : a[d + 1]], gaps[g[d] : g[d + 1]] - s, can[s:e], limit, overlap, slack, lambda k, at=at, of_line=of_line, ends=ends: bool(of_line[k]) or ends(int(at[k])))
+                    pieces = cuts_of(e - s, natural[a[d] : a[d + 1]] - s, similarity[a[d] : a[d + 1]], depth[a[d] : a[d + 1]], gaps[g[d] : g[d + 1]] - s, can[s:e], limit, overlap, slack, lambda k, at=at, of_line=of_line, ends=ends: bool(of_line[k]) or ends(int(at[k])))
                     for p, (begin, own, kind) in enumerate(pieces):
                         end = pieces[p + 1][1] if p + 1 < len(pieces) else e - s
                         pos = [int(chars[s + x] - chars[s]) for x in (begin, own, end)]
@@ -198,5 +213,19 @@ def split_texts(
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()] + [pa.string()] * with_piece
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in shape.split(", ")])
 
-    return texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("l")).mapInArrow(work, shape).withColumnRenamed("key", key)
+    return work
 
+
+def split_texts(
+    texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1024, overlap: int = 64, block: int = 96, slack: float = 0.5,
+    with_piece: bool = False, lang: str | None = None, directory: str = TOKENIZER_DIR, name: str = DEFAULT_TOKENIZER,
+) -> DataFrame:
+    """One row per piece of the texts of more than ``limit`` tokens: (key, piece_no, pieces, start_pos, own_pos, end_pos,
+    n_tokens, n_overlap, tokens, cut_at). Positions are code points; [start_pos, own_pos) repeats the piece before.
+
+    ``block``: tokens of a block that is compared; ``slack``: share of the room that a piece must fill before a natural
+    boundary is taken, if one lies beyond. ``with_piece`` adds ``piece``, the text of each piece including its overlap.
+    ``lang``: the column with the language of each text; without it, or where it is null or not known, the abbreviations
+    of all languages count.
+    """
+    return texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("l")).mapInArrow(cutter(limit, overlap, block, slack, with_piece, directory, name), _shape(with_piece)).withColumnRenamed("key", key)

@@ -6,8 +6,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from notaflux.llm import encoding as E
 from notaflux.llm import packing as P
@@ -29,6 +32,26 @@ def test_chunks_stitch_exactly(spark, documents, chunk):
     assert got == {i: whole.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
 
 
+SCRIPTS = ["रोगी ठीक है दवा दी गई ", "пациент стабилен без жалоб ", "ผู้ป่วยดีไม่มีไข้", "患者の状態は安定している、発熱なし。", "المريض بحالة جيدة ", "환자는 안정적이다. ", "don't 3kg ", "é3º½ª…"]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_places_to_meet_in_every_script(script):
+    text = script * 200
+    parts = [E.owned(c, first, last, 300, 60) for c, first, last in E.chunks_of(text, 300, 60)]
+    assert all(before and after for *_, before, after in parts)
+
+
+@settings(max_examples=200, deadline=None, derandomize=True)
+@given(st.lists(st.sampled_from([*"aB1'²é \n\tªα漢かกี،。!-", "'s", "हि", "  ", "x" * 9, "\u200b", "\x1c", "🙂"]), max_size=120).map("".join), st.integers(3, 20))
+def test_chunks_of_any_text_meet(text, size):
+    parts = []
+    for no, (c, first, last) in enumerate(E.chunks_of(text, size, 3)):
+        s, e, before, after = E.owned(c, first, last, size, 3)
+        parts.append({"no": no, "after": after, "ids": E.encoder().encode_ordinary(c[s:e]) if before and after else None, "raw": c[s:e]})
+    assert E.joined_ids(parts, E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER).tolist() == E.encoder().encode_ordinary(text)
+
+
 def test_same_as_the_other_library():
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(f"{E.TOKENIZER_DIR}/{E.DEFAULT_TOKENIZER}.json")
@@ -115,8 +138,9 @@ def test_deepest_valley():
     direction = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (7, 16))
     at = np.array([30, 45, 60, 75, 90])
     similarity = S.valleys(ids, at, np.zeros(5, int), np.full(5, 120), direction, 24)
-    assert at[int(np.argmin(similarity))] == 60
-    pieces = S.cuts_of(120, at, similarity, at, np.ones(121, bool), 100, 0, 0.3)
+    depth = S.depths(similarity, np.array([0]))
+    assert at[int(np.argmin(similarity))] == 60 == at[int(np.argmax(depth))]
+    pieces = S.cuts_of(120, at, similarity, depth, at, np.ones(121, bool), 100, 0, 0.3)
     assert [p[1] for p in pieces] == [0, 60]
 
 
@@ -136,6 +160,46 @@ def test_valleys_are_exact_on_documents():
     assert len(texts) > 5 and np.allclose(S.valleys(ids, at, first, last, wordy, 96), wanted, atol=1e-6)
 
 
+def climb(s, i, step):
+    while 0 <= i + step < len(s) and s[i + step] >= s[i]:
+        i += step
+    return s[i]
+
+
+def test_depth_is_the_climb_to_both_peaks():
+    rng = random.Random(8)
+    lists = [[rng.choice([0.0, 0.1, 0.25, 0.5, 0.75]) for _ in range(rng.randrange(0, 30))] for _ in range(40)]
+    first = np.cumsum([0] + [len(x) for x in lists])[:-1]
+    got = S.depths(np.array([v for x in lists for v in x]), first)
+    assert got.tolist() == [climb(x, i, -1) + climb(x, i, 1) - 2 * x[i] for x in lists for i in range(len(x))]
+    assert S.depths(np.zeros(0), np.zeros(1, int)).size == 0
+
+
+def test_the_cut_is_the_deepest_valley_of_its_window(spark):
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t) > 6000][:60]
+    seen = []
+    real = S.cuts_of
+
+    def watched(n, natural, similarity, depth, gaps, whole, limit, overlap, slack, ends):
+        found = real(n, natural, similarity, depth, gaps, whole, limit, overlap, slack, ends)
+        for (begin, own, _), (_, to, kind) in zip(found, found[1:], strict=False):
+            far = begin + limit
+            window = [k for k in range(len(natural)) if own + int((far - own) * slack) <= natural[k] <= far and ends(int(natural[k]))]
+            if kind == "natural" and window and to >= own + int((far - own) * slack):
+                deep = {int(natural[k]): climb(similarity, k, -1) + climb(similarity, k, 1) - 2 * similarity[k] for k in window}
+                seen.append(deep[to] == max(deep.values()))
+        return found
+
+    S.cuts_of = watched
+    try:
+        work = S.cutter(1024, 64, 96, 0.5, False, E.TOKENIZER_DIR, E.DEFAULT_TOKENIZER)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(["pt"] * len(texts))], names=["key", "t", "l"])
+        list(work(iter([batch])))
+    finally:
+        S.cuts_of = real
+    assert len(seen) > 60 and all(seen)
+
+
 def test_natural_cuts_are_ends_of_sentences_or_lines(spark):
     body = ["Vistos os autos, fls. 265 e 266, Processo n. 9393408, Rel. Des. Mirtumundes; juros: at p. 428 sim.", "O recurso foi provido (art. 5 e art. 6)!", "内容を確認した。次の段落です。"]
     rng = random.Random(5)
