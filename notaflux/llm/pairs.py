@@ -8,7 +8,8 @@ Benjamini-Hochberg step-up over all pairs of items controls the false discoverie
 
 Exact pruning before any pair is built: a pair counts at most as often as its rarer item, so items under ``least``
 baskets are in no reported pair; with a wanted ratio, n_ab n / (n_a n_b) <= n / max(n_a, n_b), so items over n / ratio are
-in none either. What is left is joined by basket; the pairs of one task are combined before they are shuffled.
+in none either. What is left is joined by basket, large baskets in blocks; the pairs of one task are combined before
+they are shuffled.
 
 Defined results: null types, null baskets and null texts are left out; items are stripped of white space and
 lower-cased, an empty text is an item; an item counts once a basket; an empty table gives no pair.
@@ -16,8 +17,6 @@ lower-cased, an empty text is an item; an item counts once a basket; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +25,8 @@ from pyspark.sql import functions as F
 from notaflux.cluster import cut
 from notaflux.functions.folding import strip_space
 
+_GROUP = 20_000  # distinct profiles of a group that is judged at once
+
 
 def baskets(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct (kind, basket, item): the entity texts that are source or target of a relation of one kind in one note."""
@@ -35,36 +36,72 @@ def baskets(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return ends.distinct().join(named, "entity_id").select("kind", "basket", "item").distinct()
 
 
-def pair_counts(items: DataFrame, least: int = 1, ratio: float = 0.0) -> DataFrame:
-    """(kind, a, b; a < b, n_ab, n_a, n_b, n) of the pairs in at least ``least`` baskets and with at least ``ratio`` times chance."""
+def _numbered(items: DataFrame, least: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Items that can be in a reported pair (kind, item, no, n_item, n), written once so that their numbers stay, and the
+    baskets of those items (kind, basket, no)."""
     per_item = items.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("n_item"))
     totals = items.groupBy("kind").agg(F.count_distinct("basket").alias("n"))  # a row per kind
     kept = per_item.join(F.broadcast(totals), "kind").where((F.col("n_item") >= least) & (F.col("n_item") * ratio <= F.col("n")))
-    slim = items.join(kept.select("kind", "item"), ["kind", "item"])
-    a, b = slim.withColumnRenamed("item", "a"), slim.withColumnRenamed("item", "b")
-    both = a.join(b, ["kind", "basket"]).where("a < b").groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= least)
-    counted = both.join(kept.select("kind", F.col("item").alias("a"), F.col("n_item").alias("n_a"), "n"), ["kind", "a"]).join(
-        kept.select("kind", F.col("item").alias("b"), F.col("n_item").alias("n_b")), ["kind", "b"])
-    # in whole numbers where the ratio is one, so that a bound is met exactly
-    return counted.where(F.col("n_ab") * F.col("n") >= F.lit(ratio) * F.col("n_a") * F.col("n_b")).select("kind", "a", "b", "n_ab", "n_a", "n_b", "n")
+    kept = cut(kept.withColumn("no", F.monotonically_increasing_id()))
+    return kept, items.join(kept.select("kind", "item", "no"), ["kind", "item"]).select("kind", "basket", "no")
 
 
-def fit_null(degree: np.ndarray, items: np.ndarray, size: np.ndarray, n_baskets: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """x by item frequency and y by basket size such that both are kept in expectation (fixed-point iteration)."""
+def pair_counts(items: DataFrame, least: int = 1, ratio: float = 0.0, block: int = 512) -> DataFrame:
+    """(kind, a, b; a < b, n_ab, n_a, n_b, n) of the pairs in at least ``least`` baskets and with at least ``ratio`` times chance.
+
+    Pairs are built from numbers and get their texts when they are counted. A basket of more than ``block`` items is
+    dealt out in blocks, and every two blocks meet under a key of their own, so no task pairs a whole large basket.
+    """
+    kept, slim = _numbered(items, least, ratio)
+    sizes = slim.groupBy("kind", "basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    # few baskets are that large; the others keep one block and one key
+    dealt = slim.join(sizes, ["kind", "basket"], "left").select(
+        "kind", "basket", "no", F.ceil(F.coalesce(F.col("size"), F.lit(1)) / block).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    a = dealt.select("kind", "basket", F.col("no").alias("a"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
+    b = dealt.select("kind", "basket", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("low"), F.col("own").alias("high"))
+    met = a.join(b, ["kind", "basket", "low", "high"]).where((F.col("a") < F.col("b")) | (F.col("low") < F.col("high")))
+    both = met.groupBy("kind", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= least)
+    of = lambda no, end: kept.select(F.col("no").alias(no), F.col("item").alias(f"t_{end}"), F.col("n_item").alias(f"n_{end}"), *(["n"] if end == "x" else []))
+    counted = both.join(of("x", "x"), "x").join(of("y", "y"), "y")
+    # in whole numbers where the ratio is one, so that a bound is met exactly
+    counted = counted.where(F.col("n_ab") * F.col("n") >= F.lit(ratio) * F.col("n_x") * F.col("n_y"))
+    first = F.col("t_x") < F.col("t_y")
+    way = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return counted.select("kind", way("t_x", "t_y").alias("a"), way("t_y", "t_x").alias("b"), "n_ab", way("n_x", "n_y").alias("n_a"), way("n_y", "n_x").alias("n_b"), "n")
+
+
+def fit_null(
+    degree: np.ndarray, items: np.ndarray, size: np.ndarray, n_baskets: np.ndarray, rounds: int = 2000, tolerance: float = 1e-9, cells: int = 1 << 20,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """x by item frequency, y by basket size, and the largest relative error of the frequencies and sizes that they keep
+    in expectation (fixed-point iteration, ended by ``tolerance``). Distinct frequencies meet distinct sizes ``cells`` at
+    a time, so memory does not grow with their product."""
     total = float((degree * items).sum()) or 1.0
     x, y = degree / np.sqrt(total), size / np.sqrt(total)
+    step = max(1, cells // max(1, len(size)))
+
+    def kept(x: np.ndarray, y: np.ndarray, of_items: bool) -> np.ndarray:
+        out = np.zeros(len(x) if of_items else len(y))
+        for at in range(0, len(x), step):
+            p = np.outer(x[at : at + step], y)
+            p /= 1 + p
+            if of_items:
+                out[at : at + step] = p @ n_baskets
+            else:
+                out += items[at : at + step] @ p
+        return out
+
+    error = np.inf if len(degree) and len(size) else 0.0
     for _ in range(rounds):
-        p = np.outer(x, y) / (1 + np.outer(x, y))
-        got = (p * n_baskets).sum(1)
-        x2 = x * np.divide(degree, got, out=np.ones_like(got), where=got > 0)
-        p = np.outer(x2, y) / (1 + np.outer(x2, y))
-        held = (p * items[:, None]).sum(0)
-        y2 = y * np.divide(size, held, out=np.ones_like(held), where=held > 0)
-        done = np.allclose(x2, x, rtol=1e-9) and np.allclose(y2, y, rtol=1e-9)
-        x, y = x2, y2
-        if done:
+        if error <= tolerance:
             break
-    return x, y
+        got = kept(x, y, True)
+        x = x * np.divide(degree, got, out=np.ones_like(got), where=got > 0)
+        held = kept(x, y, False)
+        off = np.divide(size, held, out=np.ones_like(held), where=held > 0)
+        y = y * off
+        error = float(max(np.abs(off - 1).max(), np.abs(got / degree - 1).max()))
+    return x, y, error
 
 
 def log_tail(seen: np.ndarray, chance: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,49 +138,71 @@ def log_tail(seen: np.ndarray, chance: np.ndarray, times: np.ndarray) -> tuple[n
 
 
 def _mills(w: np.ndarray) -> np.ndarray:
-    """(1 - Phi(w)) / phi(w) for w > 0: a rational approximation under 6, the continued fraction above."""
-    t = 1 / (1 + 0.2316419 * w)
-    near = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    far = w.copy()
-    for k in range(40, 0, -1):
-        far = w + k / np.maximum(far, 1e-9)
-    return np.where(w < 2, near, 1 / np.maximum(far, 1e-9))
-
-
-def surprise(items: DataFrame, least: int = 1) -> DataFrame:
-    """``pair_counts`` with expected, ratio, log10_p and q_bound, the least false-discovery rate at which the pair counts.
+    """(1 - Phi(w)) / phi(w) for w > 0: the series of the distribution function under 3, the continued fraction above;
+    both to about 1e-10."""
+    w = np.asarray(w, float)
+    low = np.minimum(w, 3.0)
+    term, total = low.copy(), low.copy()
+    for k in range(1, 60):
+        term = term * low * low / (2 * k + 1)
+        total += term
+    near = np.sqrt(np.pi / 2) * np.exp(low * low / 2) - total
+    far = np.maximum(w, 3.0)
+    tail = far.copy()
+    for k in range(60, 0, -1):
+        tail = far + k / tail
+    return np.where(w < 3, near, 1 / tail)
+
+
+_PROFILE = "kind string, n_ab bigint, n_a bigint, n_b bigint, expected double, log10_p double, all_items double, null_error double"
+
+
+def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    i, b = pdf[pdf.side == "item"].sort_values("v"), pdf[pdf.side == "basket"].sort_values("v")
+    x, y, error = fit_null(i.v.to_numpy(float), i.c.to_numpy(float), b.v.to_numpy(float), b.c.to_numpy(float))
+    return pd.DataFrame({"kind": pdf.kind.iloc[0], "degrees": [i.v.tolist()], "x": [x.tolist()], "y": [y.tolist()], "times": [b.c.tolist()], "all_items": float(i.c.sum()), "null_error": error})
+
+
+def _judge(profiles: pd.DataFrame, null: pd.DataFrame) -> pd.DataFrame:
+    """Tails of the distinct (n_ab, n_a, n_b) of one kind; some thousand cells of profiles and basket sizes at a time."""
+    if not len(profiles):
+        return pd.DataFrame({c: pd.Series(dtype=object if kind == "string" else float) for c, kind in (f.split() for f in _PROFILE.split(", "))})
+    n = null.iloc[0]
+    degrees, x, y, times = (np.asarray(n[c], float) for c in ("degrees", "x", "y", "times"))
+    xa, xb, seen = (x[np.searchsorted(degrees, profiles.n_a)], x[np.searchsorted(degrees, profiles.n_b)], profiles.n_ab.to_numpy())
+    mean, log_p = np.zeros(len(profiles)), np.zeros(len(profiles))
+    step = max(1, (1 << 18) // max(1, len(y)))
+    for at in range(0, len(profiles), step):
+        fa, fb = (np.outer(v[at : at + step], y) for v in (xa, xb))
+        mean[at : at + step], log_p[at : at + step] = log_tail(seen[at : at + step], fa / (1 + fa) * fb / (1 + fb), times)
+    counts = {c: profiles[c].to_numpy() for c in ("n_ab", "n_a", "n_b")}
+    kinds = np.full(len(profiles), str(n.kind), object)
+    return pd.DataFrame({"kind": kinds, **counts, "expected": mean, "log10_p": log_p / np.log(10), "all_items": n.all_items, "null_error": n.null_error})
+
+
+def surprise(items: DataFrame, least: int = 1, ratio: float = 0.0) -> DataFrame:
+    """``pair_counts`` with expected, ratio, log10_p, q_bound (the least false-discovery rate at which the pair counts) and
+    null_error (how far the fitted null is from the frequencies and sizes it has to keep).
 
     Tests are all pairs of items of a kind, met or not. Ranks come from counts per thousandth of log10 p, so the step-up
     is over a bounded table; a bin takes the rate of its upper end, which can only overstate q (by 0.23 per cent at most).
+    With ``least`` or ``ratio`` ranks are among the pairs that are left, which overstates q too.
+
+    A tail depends on the counts of a pair alone, so it is worked out once for each distinct (n_ab, n_a, n_b); these
+    meet the null of their kind in groups, and neither they nor the pairs carry its arrays.
     """
     items = cut(items)
-    pairs = pair_counts(items, least)
+    pairs = cut(pair_counts(items, least, ratio))
     per_item = items.groupBy("kind", "item").agg(F.count(F.lit(1)).alias("v")).groupBy("kind", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("side", F.lit("item"))
     per_basket = items.groupBy("kind", "basket").agg(F.count(F.lit(1)).alias("v")).groupBy("kind", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("side", F.lit("basket"))
-    histograms = per_item.unionByName(per_basket)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, b = pdf[pdf.side == "item"], pdf[pdf.side == "basket"]
-        x, y = fit_null(i.v.to_numpy(float), i.c.to_numpy(float), b.v.to_numpy(float), b.c.to_numpy(float))
-        return pd.DataFrame({"kind": pdf.kind.iloc[0], "degrees": [i.v.tolist()], "x": [x.tolist()], "y": [y.tolist()], "times": [b.c.tolist()], "all_items": float(i.c.sum())})
-
-    null = histograms.groupBy("kind").applyInPandas(fit, "kind string, degrees array<bigint>, x array<double>, y array<double>, times array<bigint>, all_items double")
-    place = lambda c: F.element_at("x", F.array_position("degrees", F.col(c)).cast("int"))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for _, g in pdf.groupby("kind", sort=False):
-                y, times = np.asarray(g.y.iloc[0]), np.asarray(g.times.iloc[0], float)
-                fa, fb = np.outer(g.xa, y), np.outer(g.xb, y)
-                mean, log_p = log_tail(g.n_ab.to_numpy(), fa / (1 + fa) * fb / (1 + fb), times)
-                parts.append(g.drop(columns=["xa", "xb", "y", "times"]).assign(expected=mean, log10_p=log_p / np.log(10)))
-            if parts:
-                yield pd.concat(parts)
-
-    ready = pairs.join(F.broadcast(null), "kind").select("kind", "a", "b", "n_ab", "n_a", "n_b", "n", "all_items", place("n_a").alias("xa"), place("n_b").alias("xb"), "y", "times")
-    scored = cut(ready.mapInPandas(judge, "kind string, a string, b string, n_ab bigint, n_a bigint, n_b bigint, n bigint, all_items double, expected double, log10_p double"))
-    binned = scored.withColumn("bin", F.ceil(F.greatest(F.col("log10_p"), F.lit(-400.0)) * 1000))
+    null = per_item.unionByName(per_basket).groupBy("kind").applyInPandas(_fit, "kind string, degrees array<bigint>, x array<double>, y array<double>, times array<bigint>, all_items double, null_error double")
+    profiles = cut(pairs.groupBy("kind", "n_ab", "n_a", "n_b").agg(F.count(F.lit(1)).alias("pairs")))
+    groups = 1 + profiles.count() // _GROUP  # one number
+    dealt = profiles.withColumn("g", F.pmod(F.xxhash64("n_ab", "n_a", "n_b"), F.lit(groups)))
+    everywhere = null.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
+    tails = cut(dealt.groupBy("kind", "g").cogroup(everywhere.groupBy("kind", "g")).applyInPandas(_judge, _PROFILE))
+    on = ["kind", "n_ab", "n_a", "n_b"]
+    binned = tails.join(profiles, on).withColumn("bin", F.ceil(F.greatest(F.col("log10_p"), F.lit(-400.0)) * 1000))
 
     def step_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
@@ -151,6 +210,7 @@ def surprise(items: DataFrame, least: int = 1) -> DataFrame:
         rate = tests * 10.0 ** (pdf.bin / 1000) / pdf.c.cumsum()
         return pdf[["kind", "bin"]].assign(q_bound=np.minimum(rate[::-1].cummin()[::-1], 1.0))
 
-    rates = binned.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("all_items").alias("all_items")).groupBy("kind").applyInPandas(step_up, "kind string, bin bigint, q_bound double")
-    return binned.join(rates, ["kind", "bin"]).select(
-        "kind", "a", "b", "n_ab", "n_a", "n_b", "n", "expected", (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("ratio"), "log10_p", "q_bound")
+    rates = binned.groupBy("kind", "bin").agg(F.sum("pairs").alias("c"), F.first("all_items").alias("all_items")).groupBy("kind").applyInPandas(step_up, "kind string, bin bigint, q_bound double")
+    judged = binned.join(rates, ["kind", "bin"]).select(*on, "expected", "log10_p", "q_bound", "null_error")
+    return pairs.join(judged, on).select(
+        "kind", "a", "b", "n_ab", "n_a", "n_b", "n", "expected", (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("ratio"), "log10_p", "q_bound", "null_error")

@@ -80,8 +80,8 @@ def _baskets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    counted = pairs.pair_counts(_baskets(spark, root), least=5, ratio=3.0)
-    return counted.select(F.col("kind").alias("relation_type"), F.col("a").alias("text_a"), F.col("b").alias("text_b"))
+    judged = pairs.surprise(_baskets(spark, root), least=5, ratio=3.0)
+    return judged.where("q_bound <= 1").select(F.col("kind").alias("relation_type"), F.col("a").alias("text_a"), F.col("b").alias("text_b"))
 
 
 def p6_surprise(spark: SparkSession, root: str) -> DataFrame:

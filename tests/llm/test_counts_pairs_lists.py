@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -56,11 +57,38 @@ def test_pair_counts_against_brute_force(spark):
 
 def test_null_keeps_frequencies_and_sizes():
     degree, items, size, n = np.array([1.0, 3.0, 10.0]), np.array([10.0, 5.0, 1.0]), np.array([2.0, 3.0]), np.array([10.0, 5.0])
-    x, y = P.fit_null(degree, items, size, n)
+    x, y, error = P.fit_null(degree, items, size, n)
+    assert error < 1e-8 and P.fit_null(degree, items, size, n, rounds=1)[2] > 1e-3
+    assert np.allclose(P.fit_null(degree, items, size, n, cells=2)[0], x)
     p = np.outer(x, y) / (1 + np.outer(x, y))
     assert (p * n).sum(1) == pytest.approx(degree, rel=1e-6) and (p * items[:, None]).sum(0) == pytest.approx(size, rel=1e-6)
 
 
+def test_mills_ratio():
+    w = np.array([1e-6, 0.1, 0.7, 1.9, 2.1, 2.99, 3.01, 5.9, 6.1, 20.0, 37.0])
+    wanted = [math.exp(v * v / 2) * math.sqrt(math.pi / 2) * math.erfc(v / math.sqrt(2)) for v in w]
+    assert P._mills(w) == pytest.approx(wanted, rel=1e-8)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 512])
+def test_a_large_basket_in_blocks(spark, block):
+    rows = [("R", b, f"t{i}") for b in range(3) for i in range(12 + b)] + [("S", 0, "x"), ("S", 0, "y"), ("R", 9, "t1")]
+    df = spark.createDataFrame(rows, "kind string, basket bigint, item string")
+    wanted = Counter((k, *p) for k, b in {r[:2] for r in rows} for p in itertools.combinations(sorted({r[2] for r in rows if r[:2] == (k, b)}), 2))
+    got = P.pair_counts(df, block=block).collect()
+    assert {(r["kind"], r["a"], r["b"]): r["n_ab"] for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_surprise_needs_no_arrays_on_pairs(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = list({(rng.choice("RS"), b, f"t{min(rng.randrange(30), rng.randrange(30))}") for b in range(150) for _ in range(rng.randrange(1, 7))})
+    df = spark.createDataFrame(rows, "kind string, basket bigint, item string")
+    one = {(r["kind"], r["a"], r["b"]): (r["log10_p"], r["q_bound"]) for r in P.surprise(df).collect()}
+    monkeypatch.setattr(P, "_GROUP", 7)
+    many = {(r["kind"], r["a"], r["b"]): (r["log10_p"], r["q_bound"]) for r in P.surprise(df).collect()}
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k]) for k in one)
+
+
 def test_tail_against_convolution():
     rng = np.random.default_rng(0)
     chance, times, seen = rng.uniform(0.001, 0.2, (8, 3)), np.array([5.0, 9.0, 20.0]), np.array([9, 6, 9, 12, 11, 15, 8, 20])
