@@ -117,6 +117,46 @@ def test_list_matching(spark):
     assert C.match_list(values.limit(0), entries).count() == 0
 
 
+def test_margin_rejects(spark):
+    names = ["tomografia de cranio", "tomografia de torax", "insuficiencia cardiaca", "insuficiencia renal", "hiperuricemia assintomatica", "hematuria assintomatica", "dipirona"]
+    entries = spark.createDataFrame([(i, n, "P") for i, n in enumerate(names)], "term_id bigint, term string, entity_type string")
+    cases = {"tomografia de cranio e torax": None, "insuficiencia cardiaca renal": None, "tomografia de cranios": 0, "insuf cardiaca": 2, "hiper. assintomatica": 4, "xyzwvu": None, "dipirna": 6, "insuficiencia": None}
+    values = spark.createDataFrame([("P", v) for v in cases], "entity_type string, text string")
+    assert {r["text"]: r["term_id"] for r in C.match_list(values, entries).collect()} == cases
+
+
+def test_remarks_are_learnt(spark):
+    names = ["alfaxol", "betamina", "gamatina", "deltazol", "zetaril", "tetracin", "omegan forte"]
+    listed = spark.createDataFrame([("M", i, n) for i, n in enumerate(names)], "g string, id bigint, name string")
+    values = spark.createDataFrame([("M", f"{n} xpto") for n in names] + [("M", "alfaxol novo"), ("M", "omegan"), ("M", "beta forte")], "g string, v string")
+    assert [r["word"] for r in C.remarks(values, listed, 0.1, 5).collect()] == ["xpto"]
+    df = values.select(values.g.alias("entity_type"), values.v.alias("text"))
+    got = {r["text"]: r["term_id"] for r in C.match_list(df, listed.select(listed.g.alias("entity_type"), listed.id.alias("term_id"), listed.name.alias("term"))).collect()}
+    assert all(got[f"{n} xpto"] == i for i, n in enumerate(names)) and got["omegan"] == 6
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.25, 0.6])
+def test_rare_grams_lose_no_entry(spark, threshold):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcde", k=rng.randrange(3, 8))) for _ in range(60)]
+    listed = spark.createDataFrame([("A", i, w) for i, w in enumerate(sorted(set(words)))], "g string, id bigint, name string")
+    values = spark.createDataFrame([("A", "".join(rng.choices("abcdex", k=rng.randrange(2, 9)))) for _ in range(80)], "g string, v string").distinct()
+    index, unseen = C._index(listed)
+    got = {(r["v"], r["id"]): r["score"] for r in C._scores(values, index, unseen, threshold).where(f"score >= {threshold}").collect()}
+    weight = {r["gram"]: r["w2"] for r in index.collect()}
+    cut = {r["name"]: (r["id"], set(r["grams"])) for r in listed.select("id", "name", C.grams(listed.name).alias("grams")).collect()}
+    other = unseen.first()["unseen"]
+    wanted = {}
+    for r in values.select("v", C.grams(values.v).alias("grams")).collect():
+        own = set(r["grams"])
+        for i, theirs in cut.values():
+            dot = sum(weight[x] for x in own & theirs)
+            score = dot / (sum(weight.get(x, other) for x in own) * sum(weight[x] for x in theirs)) ** 0.5
+            if score >= threshold + 1e-6:
+                wanted[r["v"], i] = score
+    assert wanted.keys() <= got.keys() and len(wanted) > 3 and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in wanted.items())
+
+
 def test_equal_candidates_give_none(spark):
     entries = spark.createDataFrame([(1, "abcdefgx", "M"), (2, "abcdefgy", "M")], "term_id bigint, term string, entity_type string")
     values = spark.createDataFrame([("M", "abcdefgz")], "entity_type string, text string")
