@@ -46,6 +46,21 @@ def _numbered(items: DataFrame, least: int, ratio: float) -> tuple[DataFrame, Da
     return kept, items.join(kept.select("kind", "item", "no"), ["kind", "item"]).select("kind", "basket", "no")
 
 
+def halves(members: DataFrame, keys: list[str], member: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join that lets the members of each group (``keys``) meet, on ``keys``, low and high.
+
+    Groups of more than ``block`` members are dealt out in blocks and every two blocks meet under a key of their own; two
+    members of one block meet both ways round, two of different blocks once. Few groups are that large; the others keep
+    one block and one key.
+    """
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > block)
+    blocks = F.ceil(F.coalesce(F.col("__size"), F.lit(1)) / block).cast("int")
+    dealt = members.join(sizes, keys, "left").withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__blocks")).cast("int"))
+    plain = members.columns
+    a = dealt.select(*plain, F.col("__own").alias("low"), F.explode(F.sequence("__own", F.col("__blocks") - 1)).alias("high"))
+    return a, dealt.select(*plain, F.explode(F.sequence(F.lit(0), "__own")).alias("low"), F.col("__own").alias("high"))
+
+
 def pair_counts(items: DataFrame, least: int = 1, ratio: float = 0.0, block: int = 512) -> DataFrame:
     """(kind, a, b; a < b, n_ab, n_a, n_b, n) of the pairs in at least ``least`` baskets and with at least ``ratio`` times chance.
 
@@ -53,12 +68,8 @@ def pair_counts(items: DataFrame, least: int = 1, ratio: float = 0.0, block: int
     dealt out in blocks, and every two blocks meet under a key of their own, so no task pairs a whole large basket.
     """
     kept, slim = _numbered(items, least, ratio)
-    sizes = slim.groupBy("kind", "basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
-    # few baskets are that large; the others keep one block and one key
-    dealt = slim.join(sizes, ["kind", "basket"], "left").select(
-        "kind", "basket", "no", F.ceil(F.coalesce(F.col("size"), F.lit(1)) / block).cast("int").alias("blocks")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
-    a = dealt.select("kind", "basket", F.col("no").alias("a"), F.col("own").alias("low"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("high"))
-    b = dealt.select("kind", "basket", F.col("no").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("low"), F.col("own").alias("high"))
+    a, b = halves(slim, ["kind", "basket"], "no", block)
+    a, b = a.withColumnRenamed("no", "a"), b.withColumnRenamed("no", "b")
     met = a.join(b, ["kind", "basket", "low", "high"]).where((F.col("a") < F.col("b")) | (F.col("low") < F.col("high")))
     both = met.groupBy("kind", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= least)
     of = lambda no, end: kept.select(F.col("no").alias(no), F.col("item").alias(f"t_{end}"), F.col("n_item").alias(f"n_{end}"), *(["n"] if end == "x" else []))

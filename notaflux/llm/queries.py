@@ -32,13 +32,19 @@ def p1_sentences(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, root: str) -> DataFrame:
-    return lookalikes.canonical(sentences.notes_of(table(spark, root, "clinical_texts"), "internacao_pneumologia").select("note_id", "text"))
+    texts = table(spark, root, "clinical_texts")
+    others = texts.where(F.col("note_name").isNull() | (F.col("note_name") != "internacao_pneumologia")).select("text")
+    return lookalikes.canonical(sentences.notes_of(texts, "internacao_pneumologia").select("note_id", "text"), corpus=others)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.look_same(_forms(spark, root))
 
 
+def p2_classes(spark: SparkSession, root: str) -> DataFrame:
+    return lookalikes.classes(_forms(spark, root))
+
+
 def p2_canonical(spark: SparkSession, root: str) -> DataFrame:
     return _forms(spark, root).select("note_id", F.col("canonical").alias("text"), "repairs")
 
@@ -134,7 +140,7 @@ def p10_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_sentences, p2_found, p2_canonical, p3_found, p3_sanitised, p4_found, p4_unmatched, p6_found, p6_surprise,
+        p1_found, p1_sentences, p2_found, p2_classes, p2_canonical, p3_found, p3_sanitised, p4_found, p4_unmatched, p6_found, p6_surprise,
         p7_found, p7_counts, p8_ids, p8_round_trip, p9_found, p9_containers, p10_found, p10_pieces,
     )}
 
