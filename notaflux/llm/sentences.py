@@ -2,8 +2,12 @@
 
 Boundaries come from the Sentence_Break character property of Unicode Standard Annex 29 (terminators, closers,
 case), so every script's own terminators work without a table of ours. On top of the standard rules lie
-suppression of abbreviations by language, quotation and bracket regions inside which nothing ends, list markers,
-line breaks and the Thai space. The scan is row-local: one pass over each text, no shuffle.
+suppression of abbreviations of the text's own language, quotation and bracket regions inside which nothing ends, list
+markers, line breaks and the Thai space. The scan is row-local: one pass over each text, no shuffle.
+
+The language is the one that the text is marked with; where that is null, unknown or contradicted by the words or the
+script of the text, the one whose function words or script it shows. Without any, what is an abbreviation in one of the
+languages of Latin script counts, but no single letter.
 
 Defined results: null, empty and blank texts give no sentence; spans exclude the white space around them; every
 character other than white space lies in exactly one span; an opener without closer opens nothing.
@@ -11,8 +15,8 @@ character other than white space lies in exactly one span; an opener without clo
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -25,10 +29,10 @@ SPANS = "array<struct<start_pos:bigint,end_pos:bigint>>"
 
 # Abbreviations that never end a sentence, whatever follows on the line, by language.
 ALWAYS = {
-    "pt": "dr dra drs sr sra srta sres prof profa exmo exma hosp sta sto prot inst vol fam abd obs av tv r rod pça art "
+    "pt": "dr dra drs sr sra srta sres prof profa exmo exma hosp sta sto prot inst vol fam obs av tv r rod pça art "
     "depto enf eng ilmo cap cel gen núm cl temp p",
     "es": "dr dra sr sra srta prof profa ud uds hosp sta sto núm cl temp p",
-    "en": "dr drs mr mrs ms prof st fig figs pt temp approx rev gen capt lt sgt no nos",
+    "en": "dr drs mr mrs ms prof st fig figs pt temp approx rev gen capt lt sgt",
     "de": "dr prof hr fr frl ca z d b u o med pat temp bzw evtl ggf inkl vgl nr st std",
     "ar": "د م أ",
     "hi": "डॉ श्री प्रो मि ली",
@@ -36,9 +40,9 @@ ALWAYS = {
 }
 # Abbreviations that end nothing before a lower-case letter or a digit, but may end a sentence.
 BEFORE_LOWER = {
-    "pt": "aprox ex máx max mín min resp dir esq etc tel cel cont obs pág pag vs ref méd med mg ml comp amp cx",
+    "pt": "abd aprox ex máx max mín min resp dir esq etc tel cel cont obs pág pag vs ref méd med mg ml comp amp cx",
     "es": "aprox ej máx max mín min etc tel pág vs ref izq der",
-    "en": "vs etc max min ref est a.m p.m e.g i.e cf al hr hrs wk",
+    "en": "no nos vs etc max min ref est a.m p.m e.g i.e cf al hr hrs wk",
     "de": "etc max min tel abs uhr std",
     "hi": "मि.ली",
     "th": "น",
@@ -46,13 +50,35 @@ BEFORE_LOWER = {
 # German words before an ordinal number ("am 12. Tag", "seit dem 3. Dezember").
 ORDINAL_BEFORE = frozenset("am dem den der vom zum im des beim".split())
 
-_ALWAYS = frozenset(w for words in ALWAYS.values() for w in words.split())
-_LOWER = frozenset(w for words in BEFORE_LOWER.values() for w in words.split())
+# Function words that tell the languages of one script apart.
+FUNCTION_WORDS = {
+    "pt": "da do das dos em com não sem para pela pelo ao à na no uma foi está paciente e o os um que por",
+    "es": "el la los las del con sin una fue está por y al se un que lo su",
+    "en": "the and of with was is to no on for patient has at by in her his she he were had as after new",
+    "de": "der die das und mit ist wurde den dem kein keine nicht im bei eine ein er sie auf nach von",
+}
+# Words that stand before the initials of a name.
+BEFORE_NAME = {
+    "pt": "de da do das dos por pelo pela com a o e para ao à segundo", "es": "de del por con a el la y para al", "en": "by with to and from of for the", "de": "von und mit für bei der die den dem herr frau",
+}
+
+_ALWAYS = {lang: frozenset(words.split()) for lang, words in ALWAYS.items()}
+_LOWER = {lang: frozenset(words.split()) for lang, words in BEFORE_LOWER.items()}
+_NAMED = {lang: frozenset(words.split()) for lang, words in BEFORE_NAME.items()}
+_FUNCTION = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+# abbreviations that one language alone writes speak for it
+_OWN = {lang: frozenset(w for w in _ALWAYS[lang] | _LOWER[lang] if len(w) > 1 and not any(w in _ALWAYS[o] | _LOWER[o] | _FUNCTION[o] for o in _FUNCTION if o != lang)) for lang in _FUNCTION}
+# where nothing tells the language of a text in Latin letters: what is an abbreviation in any of them, but for single letters
+for _table in (_ALWAYS, _LOWER, _NAMED):
+    _table[None] = frozenset(w for lang in _NAMED for w in _table[lang] if len(w) > 1)
+_NONE: frozenset[str] = frozenset()
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》",
           "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‚": "‘", "‘": "’"}
 _ALSO = {"„": "”“", "‚": "’‘", "“": "”"}
-_CLOSERS = frozenset("".join(_PAIRS.values()))
+# closing marks of every script: Sentence_Break=Close among the closing and final punctuation
+_CLOSERS = frozenset(regex.findall(r"(?V1)[\p{SB=Close}&&[\p{Pe}\p{Pf}]]", "".join(map(chr, range(0x20, 0xD800))) + "".join(map(chr, range(0xE000, 0x20000))))) | set(_PAIRS.values())
+_CLOSES_ONLY = _CLOSERS - set(_PAIRS)
 
 _EVENT = regex.compile(
     r"(?P<term>[\p{SB=STerm}\p{SB=ATerm}…]+)"
@@ -62,16 +88,19 @@ _EVENT = regex.compile(
 _PUNCT_PAIR = regex.compile(r"[\"()\[\]{}（）［］【】〔〕「」『』《》〈〉«»‹›“”„‚‘’]|\n[^\S\n]*\n")
 _NEW_LINE = regex.compile(r"\n\s*")
 _BLANK_LINE = regex.compile(r"\n[^\S\n]*\n")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}º°ª.]+$")
-_HYPHENED = regex.compile(r"[\p{L}\p{M}\p{N}-]+$")
-_LIST_MARK = regex.compile(r"(?:^|[\n\r\x0b\x0c\x85  ])[^\S\n\r]*(?:\d{1,3}|\p{L})$")
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}º°ª.]+")
+_WORD_AND_STOP = regex.compile(r"(\p{L}+)(\.?)")
+_HYPHENED = regex.compile(r"[\p{L}\p{M}\p{N}-]+")
 _DOTTED = regex.compile(r"\p{L}{1,2}(?:\.\p{L}{1,3})+$")
+_LINE_END = regex.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]")
+_LINE_ENDS = frozenset("\n\r\x0b\x0c\x85\u2028\u2029")
 _CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}]")
 _SMALL = regex.compile(r"\p{Ll}")
 _DIGIT = regex.compile(r"\p{Nd}")
 _LETTER = regex.compile(r"\p{L}")
-_GOES_ON = frozenset(",;:、，；：-–—%/")
-_WINDOW = 48
+# what goes on with a sentence: Sentence_Break=SContinue, and signs behind a number
+_GOES_ON = frozenset(regex.findall(r"\p{SB=SContinue}", "".join(map(chr, range(0x20, 0xD800))) + "".join(map(chr, range(0xE000, 0x10000))))) | set(";；%/")
+_LATIN, _ARABIC, _DEVANAGARI, _THAI = (regex.compile(rf"\p{{{name}}}") for name in ("Latin", "Arabic", "Devanagari", "Thai"))
 # What can stand right before a boundary inside a line.
 BEFORE_END = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…\"" + regex.escape("".join(sorted(_CLOSERS))) + "]")
 
@@ -118,17 +147,50 @@ def _closes(opener: str, c: str) -> bool:
     return c == '"' if opener == '"' else c in _ALSO.get(opener, _PAIRS.get(opener, ""))
 
 
+def language_of(text: str, lang: str | None) -> str | None:
+    """The language whose abbreviations count: the marked one, unless the script or the words of the text speak against it."""
+    scripts = {name: len(of.findall(text)) for name, of in (("ar", _ARABIC), ("hi", _DEVANAGARI), ("th", _THAI), ("latin", _LATIN))}
+    main = max(scripts, key=lambda name: scripts[name])
+    if not scripts[main]:
+        return lang if lang in _ALWAYS else None
+    if main != "latin":
+        return main
+    words = _WORD_AND_STOP.findall(text.lower())
+    hits = {name: sum(w in known or 2 * (stop != "" and w in _OWN[name]) for w, stop in words) for name, known in _FUNCTION.items()}
+    best = max(hits, key=lambda name: (hits[name], name == lang))
+    if lang in hits and hits[best] <= hits[lang]:
+        return lang
+    return best if hits[best] else lang if lang in hits else None
+
+
+def by_line(text: str, lang: str | None) -> Callable[[int], str | None]:
+    """The language at a position: that of its line, as a note may hold lines in several; asked only where it matters."""
+    whole: list[str | None] = []
+    known: dict[int, str | None] = {}
+    starts = [0, *(m.end() for m in _LINE_END.finditer(text))]
+
+    def at(position: int) -> str | None:
+        if not whole:
+            whole.append(language_of(text, lang))
+        line = bisect_right(starts, position) - 1
+        if line not in known:
+            known[line] = language_of(text[starts[line] : starts[line + 1] if line + 1 < len(starts) else len(text)], whole[0])
+        return known[line]
+
+    return at
+
+
 def sentence_spans(text: str | None, lang: str | None = None, truncations: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """Half-open code point spans of the sentences of ``text``.
 
-    ``truncations``: lower-case stems of shortened domain words ("torac." for a longer word), which end nothing
-    before lower case. ``lang`` only decides whether a number with a full stop can be an ordinal.
+    ``truncations``: lower-case beginnings of shortened domain words ("torac." for a longer word), which end nothing
+    before lower case. ``lang``: what the text is marked with.
     """
     if not text or text.isspace():
         return []
     spans = []
     start = 0
-    for cut in (*_cuts(text, _regions(text), 0, len(text), lang, truncations), len(text)):
+    for cut in (*_cuts(text, _regions(text), 0, len(text), by_line(text, lang), truncations), len(text)):
         s, e = start, cut
         while s < e and text[s].isspace():
             s += 1
@@ -175,12 +237,12 @@ class SentenceEnds:
         begin = starts[i]
         if begin not in self.known:
             stop = starts[i + 1] if i + 1 < len(starts) else self.stops[k]
-            self.known[begin] = frozenset(_cuts(self.text, regions[bisect_left(regions, (begin, 0)) :], begin, stop, self.lang, also=self.also))
+            self.known[begin] = frozenset(_cuts(self.text, regions[bisect_left(regions, (begin, 0)) :], begin, stop, lambda _: self.lang, also=self.also))
         return at in self.known[begin]
 
 
 def _cuts(
-    text: str, regions: list[tuple[int, int]], since: int, stop: int, lang: str | None,
+    text: str, regions: list[tuple[int, int]], since: int, stop: int, lang_at: Callable[[int], str | None],
     truncations: frozenset[str] = frozenset(), also: frozenset[str] = frozenset(),
 ) -> list[int]:
     """Positions in [since, stop] at which sentences end."""
@@ -211,20 +273,38 @@ def _cuts(
             if k < len(regions) and regions[k][1] == end:
                 quoted = quoted or regions[k][0] < at
                 k += 1
-            elif not (c in _CLOSERS and c not in _PAIRS):
+            elif not (c in _CLOSES_ONLY):
                 break
             elif k < len(regions) and regions[k][0] < end < regions[k][1]:
                 pass  # the closer of an inner pair
             end += 1
         if k < len(regions) and regions[k][0] < end <= regions[k][1]:
             continue
-        if _ends(text, m["term"], at, end, since, quoted, lang, truncations, also):
+        if _ends(text, m["term"], at, end, since, quoted, lang_at, truncations, also):
             cuts.append(end)
             since = end
     return cuts
 
 
-def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lang: str | None, truncations: frozenset[str], also: frozenset[str]) -> bool:
+def _back(text: str, since: int, at: int, of: regex.Pattern) -> int:
+    """Where the run of characters of ``of`` begins that ends at ``at``."""
+    while at > since and of.match(text, at - 1, at):
+        at -= 1
+    return at
+
+
+def _token_before(text: str, since: int, at: int) -> str:
+    """The token between white space before ``at``, without the space in between."""
+    end = at
+    while end > since and text[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin > since and not text[begin - 1].isspace():
+        begin -= 1
+    return text[begin:end]
+
+
+def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lang_at: Callable[[int], str | None], truncations: frozenset[str], also: frozenset[str]) -> bool:
     n = len(text)
     nxt = end
     while nxt < n and text[nxt].isspace():
@@ -240,48 +320,62 @@ def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lan
         return capital or c in "¿¡"
     dots = term.strip(".．…﹒") == ""
     if not dots:
-        return not (c in _CLOSERS and c not in _PAIRS)
+        return c not in _CLOSES_ONLY
     if len(term) > 1 or "…" in term:
         return gap and not small or capital
-    found = _WORD_BEFORE.search(text, max(since, at - _WINDOW), at)
-    word = found[0] if found else ""
+    lang = lang_at(at)
+    always, lower = _ALWAYS.get(lang, _NONE), _LOWER.get(lang, _NONE)
+    begin = _back(text, since, at, _WORD)
+    word = text[begin:at]
     low = word.lower()
     if not gap:
         return (
             capital and nxt + 1 < n and bool(_SMALL.match(text, nxt + 1)) and len(word) > 1 and "." not in word
-            and low not in _ALWAYS and low not in also and low not in _LOWER and "@" not in text[max(since, at - _WINDOW) : at]
+            and low not in always and low not in also and low not in lower and "@" not in _token_before(text, since, at)
         )
-    if low in _ALWAYS or low in also:
+    if low in always or low in also:
         return False
-    if small and text[at - len(word) - 1 : at - len(word)] == "-" and _HYPHENED.search(text, max(since, at - _WINDOW), at)[0].lower() in truncations:
+    if small and begin and text[begin - 1] == "-" and text[_back(text, since, at, _HYPHENED) : at].lower() in truncations:
         return False
-    if low == "h" and small and text[max(since, at - 4) : at].lstrip() in ("d. h", "d.h"):  # German "d. h."
+    if low == "h" and small and lang == "de" and text[begin - 3 : begin] in ("d. ", " d.", "\nd."):  # "d. h."
         return False
     if small or digit:
-        if low in _LOWER or low in truncations and small or _DOTTED.match(word):
+        if low in lower or low in truncations and small or _DOTTED.match(word):
             return False
     if word.isupper() and low in truncations and _LETTER.match(c):
         return False
     if word.isdigit():
-        if _LIST_MARK.search(text, max(0, at - _WINDOW), at):
+        line = begin
+        while line > 0 and text[line - 1].isspace() and text[line - 1] not in _LINE_ENDS:
+            line -= 1
+        if len(word) <= 3 and (line == 0 or text[line - 1] in _LINE_ENDS):  # the number of a list line
             return False
-        before = _WORD_BEFORE.search(text, max(since, at - _WINDOW), found.start()) or found
-        led = text[max(since, found.start() - 12) : found.start()].split()
-        if len(word) <= 2 and (lang == "de" or before) and led and led[-1].lower() in ORDINAL_BEFORE and _LETTER.match(c):
-            return False
-        return True
-    if len(word) == 1 and capital and _CAPITAL.match(word):  # an initial, unless it is the unit of a number
-        led = text[max(since, found.start() - 12) : found.start()].rstrip()
-        return bool(led) and bool(_DIGIT.match(led[-1])) or led.endswith("°")
+        return not (lang == "de" and len(word) <= 2 and _token_before(text, since, begin).lower() in ORDINAL_BEFORE and _LETTER.match(c))
+    if len(word) == 1 and capital and _CAPITAL.match(word):
+        return not _initial(text, since, begin, lang)
     if len(word) > 1 and "." in word and word[-2] == "." and _CAPITAL.match(word[-1]) and capital:
         return word[0].islower()  # "M.D. Silva"
     if len(word) == 1 and _CAPITAL.match(word) and small:
         return False
-    if low in _LOWER and not (capital or small or digit) and _LETTER.match(c):
+    if low in lower and not (capital or small or digit) and _LETTER.match(c):
         return False
     return True
 
 
+def _initial(text: str, since: int, begin: int, lang: str | None) -> bool:
+    """Whether a capital with a full stop is the initial of a name: nothing, a name, another initial, a title or a word
+    that names are introduced by stands before it. Behind another word ("vitamina D.") or a number it ends a sentence."""
+    before = _token_before(text, since, begin)
+    bare = before.strip("\"'“”«»([")
+    if not bare:
+        return True
+    if before.endswith("."):
+        return True
+    if bare[-1] == "°" or _DIGIT.match(bare[-1]):
+        return False
+    return bool(_CAPITAL.match(bare)) or bare.lower() in _NAMED.get(lang, _NONE)
+
+
 def sentences(notes: DataFrame, key: str = "note_id", text: str = "text", lang: str | None = None, truncations: Iterable[str] = ()) -> DataFrame:
     """(key, sentence_no, start_pos, end_pos, sentence) of every sentence; other columns of ``notes`` are not read."""
     known = frozenset(truncations)
@@ -300,10 +394,11 @@ def sentences(notes: DataFrame, key: str = "note_id", text: str = "text", lang:
     )
 
 
-def word_stems(terms: Iterable[str], length: int = 5) -> frozenset[str]:
-    """Stems that shortened forms of ``terms`` are written with; whole words of the terms are none."""
+def word_stems(terms: Iterable[str], least: int = 5) -> frozenset[str]:
+    """What the words of ``terms`` can be shortened to: their beginnings of ``least`` letters or more that are no word of the
+    terms themselves."""
     words = {w for t in terms for w in t.lower().split()}
-    return frozenset(w[:length] for w in words if len(w) > length) - words
+    return frozenset(w[:k] for w in words for k in range(least, len(w))) - words
 
 
 def notes_of(texts: DataFrame, note_name: str) -> DataFrame:

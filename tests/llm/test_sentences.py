@@ -26,6 +26,28 @@ def test_counts(text, wanted):
     assert len(cut(text)) == wanted, cut(text)
 
 
+@pytest.mark.parametrize(("text", "lang", "wanted"), [
+    ("Sorologia para hepatite B. Paciente nega febre.", "pt", 2), ("Deficit de vitamina D. Paciente iniciou reposicao.", "pt", 2), ("Realizado exame abd. Normal.", "pt", 2), ("He was told no. Then left.", "en", 2),
+    ("Lot no. 5 was given. Ok.", "en", 1 + 1), ("Gesehen d. h. heute. Ja.", "de", 2), ("Visto por A. B. Silva ontem. Fim.", "pt", 2), ("Avaliada pelo A. Lima. Fim.", None, 2),
+    ("Dr. Lima u. Frau kamen. Gut.", "de", 2), ("Frase « uma. duas » e fim. Mais⸩ sim.", "pt", 2), ("Paciente estável e sem dor.\nSe tomaron, p. ej. dos frascos y el suero. Fim", "pt", 3), ("A" * 500 + "@x.Com veio. Fim.", "pt", 2),
+])
+def test_languages_apart(text, lang, wanted):
+    assert len(cut(text, lang)) == wanted, cut(text, lang)
+
+
+@pytest.mark.parametrize(("text", "lang", "wanted"), [
+    ("Der Patient ist stabil und hat kein Fieber", "pt", "de"), ("Paciente estável e sem dor", "pt", "pt"), ("Paciente estável e sem dor", None, "pt"), ("The patient was seen and left", "xx", "en"), ("ผู้ป่วยดี", "pt", "th"),
+    ("قال لم ينم", None, "ar"), ("", "pt", "pt"), ("123", None, None), ("Xyzzy", None, None), ("Xyzzy", "de", "de"), ("Seen by the team", "pt", "en"),
+])
+def test_language_of_the_text(text, lang, wanted):
+    assert S.language_of(text, lang) == wanted
+
+
+def test_far_words_count(spark):
+    pad = " " * 200
+    assert len(cut(f"seit dem{pad}3. Dezember stabil. Ja.", "de")) == 2 and len(cut(f"Visto por{pad}A. Silva. Fim.", "pt")) == 2
+
+
 def test_stems_of_shortened_terms():
     stems = S.word_stems(["toracotomia exploradora", "pre-eclampsia leve", "grave"])
     assert cut("Feito por pre-e. leve em curso. Fim.", None, stems) == ["Feito por pre-e. leve em curso.", "Fim."]
