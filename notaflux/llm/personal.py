@@ -1,15 +1,17 @@
 """Personal information in free text: found, typed and replaced, the rest kept readable.
 
-E-mail addresses, phones, identity numbers and street addresses have a written form of their own and are read
-row-locally. People have not; they are found by information-theoretic sanitisation. Places where the wording calls
-for a person (a title, "falar com", "Nome da mãe:") give the protected entity; the corpus then tells for every term how
-strongly it reveals a person:
+Information-theoretic sanitisation. Places where the writing or the wording calls for a protected entity are candidates:
+written forms of e-mail addresses, phones, identity numbers and street addresses, and for people what a title, "falar
+com" or "Nome da mãe:" introduces. The corpus then tells for every term and every class of entity how strongly the term
+reveals that class:
 
-    disclosure(t) = PMI(t; person) / IC(person) = 1 + log p(person | t) / -log p(person)   (0: independent, 1: certain)
+    disclosure(t, class) = PMI(t; class) / IC(class) = 1 + log p(class | t) / -log p(class)   (0: independent, 1: certain)
 
-Terms at or over ``threshold`` are removed wherever they stand, also without such wording; a place that called for a
-person but holds only terms under the threshold is left alone. Counts run over all notes; the lexicon is joined, never
-collected.
+Counts run over all notes; the lexicon is joined, never collected. A candidate is removed, and a typed placeholder stands
+in its place, if one of its terms is at or over ``threshold``; a place that called for an entity but holds only terms that
+the corpus mostly writes elsewhere is left alone. Names are removed wherever they stand: two revealing terms next to each
+other also without such wording, a single one from ``alone`` on. Terms that reveal an address and stand outside of any
+("bairro" without a street) are generalised to a place when the text is written over.
 
 Defined results: null and blank texts give no span (and stay as they are); spans of a note never overlap; the first kind
 of address, email, identity, phone, person wins a place; repeated rows of one id count once.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from notaflux.cluster import cut
 
 # What a replaced span reads.
-PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[TELEFONE]", "identity": "[DOCUMENTO]", "address": "[ENDERECO]", "person": "[PESSOA]"}
+PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[TELEFONE]", "identity": "[DOCUMENTO]", "address": "[ENDERECO]", "person": "[PESSOA]", "place": "[LOCAL]"}
 
 _W = r"(?:(?:Profa?|Dra?|Cap|Cel|Gen|Sgt|Ten|Sta|Sto|Eng|Vd|Pe|Ver|Des|Mal|\p{Lu})\.|\p{Lu}[\p{L}\p{M}'’]*(?:-[\p{Lu}\p{Ll}][\p{L}\p{M}]*)*)"
 _LINK = r"(?i:d[aeo]s?|e)"
@@ -84,7 +86,10 @@ _STOP = frozenset(
     "mora refere sobre em para antes e usa tel telefone portador portadora residente que com sem anos nega relata informa a o as os ao no na por foi está esta é ou diz disse "
     "comparece retorna trouxe ficou deixou pede aceita autoriza ciente acompanha segue vem veio".split()
 )
-TYPED = "array<struct<kind:string,start_pos:bigint,end_pos:bigint>>"
+_NOT_TERM = regex.compile(r"[^\p{L}\p{N}@]+")
+# terms of the text around: words, and numbers without the signs that group their digits
+_WORDS, _NUMBERS = r"(\p{L}[\p{L}\p{M}'’]*(?:-\p{L}[\p{L}\p{M}]*)*)", r"(\p{N}(?:[\p{N}]|[ .\-/](?=\p{N}))*)"
+TYPED = "array<struct<kind:string,start_pos:bigint,end_pos:bigint,terms:array<string>>>"
 CHAINS = "array<struct<chain:int,token:int,term:string,start_pos:bigint,end_pos:bigint,cue:boolean,capital:boolean>>"
 
 
@@ -172,6 +177,13 @@ def name_chains(text: str, typed: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def terms_of(kind: str, span: str) -> list[str]:
+    """What can reveal an entity: the words of an address; the whole of an e-mail address or a number, without its signs."""
+    if kind == "address":
+        return [m[0].lower() for m in _TOKEN.finditer(span)]
+    return [_NOT_TERM.sub("", span.lower())]
+
+
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         typed_col, chain_col, rest_col = [], [], []
@@ -182,7 +194,7 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 rest_col.append("")
                 continue
             typed = typed_spans(text)
-            typed_col.append([{"kind": k, "start_pos": s, "end_pos": e} for k, s, e in typed])
+            typed_col.append([{"kind": k, "start_pos": s, "end_pos": e, "terms": terms_of(k, text[s:e])} for k, s, e in typed])
             chain_col.append([dict(zip(("chain", "token", "term", "start_pos", "end_pos", "cue", "capital"), c, strict=True)) for c in name_chains(text, typed)])
             parts, at = [], 0
             for _, s, e in typed:
@@ -193,38 +205,62 @@ def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def disclosures(scanned: DataFrame) -> DataFrame:
-    """(term, occurrences, in_person, disclosure) of every term that stands where a person is called for."""
-    words = scanned.select(F.explode(F.split("rest", r"[^\p{L}\p{M}'’-]+")).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
-    seeds = scanned.select(F.explode("chains").alias("c")).where("c.cue").groupBy(F.col("c.term").alias("term")).agg(F.count(F.lit(1)).alias("in_person"))
-    seeds = seeds.where(~F.col("term").isin(*_LINKS))
-    known = words.join(seeds, "term")
-    total = words.agg(F.sum("occurrences").alias("all")).crossJoin(seeds.agg(F.sum("in_person").alias("persons")))  # one row
-    p_t = F.least(F.lit(1.0), F.col("in_person") / F.col("occurrences"))
-    ic = -F.log(F.greatest(F.col("persons") / F.col("all"), F.lit(1e-12)))
-    return known.crossJoin(F.broadcast(total)).select("term", "occurrences", "in_person", F.greatest(F.lit(0.0), 1 + F.log(p_t) / ic).alias("disclosure"))
-
+    """(kind, term, occurrences, in_class, disclosure) of every term that stands where an entity of a class may stand."""
+    count = F.count(F.lit(1))
+    numbers = F.transform(F.regexp_extract_all("rest", F.lit(_NUMBERS), F.lit(1)), lambda n: F.regexp_replace(n, r"[^\p{N}]", ""))
+    around = scanned.select(F.explode(F.concat(F.regexp_extract_all("rest", F.lit(_WORDS), F.lit(1)), numbers)).alias("term")).groupBy("term").agg(count.alias("n"))
+    typed = scanned.select(F.explode("typed").alias("s")).select("s.kind", F.explode("s.terms").alias("term")).groupBy("kind", "term").agg(count.alias("in_class"))
+    people = scanned.select(F.explode("chains").alias("c")).where("c.cue").groupBy(F.col("c.term").alias("term")).agg(count.alias("in_class"))
+    classed = typed.unionByName(people.where(~F.col("term").isin(*_LINKS)).select(F.lit("person").alias("kind"), "term", "in_class"))
+    # the text around holds the places of people, but no written forms; those of other classes say nothing about this one
+    written = F.when(F.col("kind") == "person", 0).otherwise(F.col("in_class"))
+    met = classed.join(around, "term", "left").withColumn("occurrences", F.coalesce("n", F.lit(0)) + written)
+    total = around.agg(F.sum("n").alias("around"))  # one row
+    sizes = classed.groupBy("kind").agg(F.sum("in_class").alias("size"), F.sum(written).alias("beside")).crossJoin(F.broadcast(total))  # a row per class
+    p_t = F.least(F.lit(1.0), F.col("in_class") / F.col("occurrences"))
+    share = F.col("size") / (F.coalesce("around", F.lit(0)) + F.col("beside"))
+    ic = -F.log(F.least(F.lit(1 - 1e-12), F.greatest(share, F.lit(1e-12))))
+    return met.join(F.broadcast(sizes), "kind").select("kind", "term", "occurrences", "in_class", F.greatest(F.lit(0.0), 1 + F.log(p_t) / ic).alias("disclosure"))
 
-def personal_spans(notes: DataFrame, key: str = "note_id", text: str = "text", threshold: float = 0.6) -> DataFrame:
-    """(key, kind, start_pos, end_pos, n_terms) of each piece of personal information; ``key`` must be distinct.
 
-    ``threshold``: the least disclosure at which a term is removed.
-    """
+def _scanned(notes: DataFrame, key: str, text: str) -> DataFrame:
     scan = F.pandas_udf(_scan, f"struct<typed:{TYPED},chains:{CHAINS},rest:string>")
-    scanned = cut(notes.where(F.length(F.trim(F.col(f"`{text}`"))) > 0).select(F.col(f"`{key}`").alias("__key"), scan(F.col(f"`{text}`")).alias("__s")).select("__key", "__s.*"))
-    lexicon = disclosures(scanned).where(F.col("disclosure") >= threshold).select("term", F.lit(True).alias("reveals"))
+    some = notes.where(F.length(F.trim(F.col(f"`{text}`"))) > 0)
+    return cut(some.select(F.col(f"`{key}`").alias("__key"), scan(F.col(f"`{text}`")).alias("__s")).select("__key", "__s.*"))
+
+
+def _judged(scanned: DataFrame, threshold: float, alone: float) -> tuple[DataFrame, DataFrame]:
+    """(__key, kind, start_pos, end_pos) of what is removed, and of the places outside addresses that are generalised."""
+    lexicon = cut(disclosures(scanned).where(F.col("disclosure") >= threshold).select("kind", "term", "disclosure"))
     tokens = scanned.select("__key", F.explode("chains").alias("c")).select("__key", "c.*")
-    judged = tokens.join(lexicon, "term", "left").withColumn("reveals", F.coalesce("reveals", F.lit(False)) & (F.length("term") > 1))
-    chains = judged.groupBy("__key", "chain").agg(
-        F.bool_or("cue").alias("cue"), F.count_if("reveals").alias("hits"), F.bool_or("capital").alias("capital"),
+    of = lambda kind: lexicon.where(F.col("kind") == kind).select("term", F.col("disclosure").alias(kind))
+    marked = tokens.join(of("person"), "term", "left").withColumn("person", F.when(F.length("term") > 1, F.col("person")))
+    reveals = F.col("person").isNotNull()
+    chains = marked.groupBy("__key", "chain").agg(
+        F.bool_or("cue").alias("cue"), F.count_if(reveals).alias("hits"), F.bool_or("capital").alias("capital"), F.max(F.when(F.col("capital"), F.col("person"))).alias("best"),
         F.min("start_pos").alias("first"), F.max("end_pos").alias("last"),
-        F.min(F.when(F.col("reveals"), F.col("start_pos"))).alias("first_hit"), F.max(F.when(F.col("reveals"), F.col("end_pos"))).alias("last_hit"),
+        F.min(F.when(reveals, F.col("start_pos"))).alias("first_hit"), F.max(F.when(reveals, F.col("end_pos"))).alias("last_hit"),
     )
     whole = F.col("cue") & F.col("capital")  # the wording names the whole run; in other runs and in lower case only what reveals counts
-    persons = chains.where((F.col("hits") > 1) | F.col("cue") & (F.col("hits") > 0)).select(
+    named = (F.col("hits") > 1) | F.col("cue") & (F.col("hits") > 0) | F.coalesce(F.col("best") >= alone, F.lit(False))
+    persons = chains.where(named).select(
         "__key", F.lit("person").alias("kind"), F.when(whole, F.col("first")).otherwise(F.col("first_hit")).alias("start_pos"),
         F.when(whole, F.col("last")).otherwise(F.col("last_hit")).alias("end_pos"))
-    typed = scanned.select("__key", F.explode("typed").alias("s")).select("__key", "s.*")
-    return typed.unionByName(persons).select(F.col("__key").alias(key), "kind", "start_pos", "end_pos")
+    spans = scanned.select("__key", F.explode("typed").alias("s")).select("__key", "s.kind", "s.start_pos", "s.end_pos", F.explode("s.terms").alias("term"))
+    typed = spans.join(lexicon.select("kind", "term"), ["kind", "term"], "left_semi").select("__key", "kind", "start_pos", "end_pos").distinct()
+    lone = tokens.where("capital and not cue").join(of("address").where(F.col("address") >= alone), "term").join(of("person"), "term", "left").where(F.col("person").isNull() & (F.length("term") > 1))
+    places = lone.select("__key", F.lit("place").alias("kind"), "start_pos", "end_pos")
+    return typed.unionByName(persons), places
+
+
+def personal_spans(notes: DataFrame, key: str = "note_id", text: str = "text", threshold: float = 0.6, alone: float = 0.9, places: bool = False) -> DataFrame:
+    """(key, kind, start_pos, end_pos) of each piece of personal information; ``key`` must be distinct.
+
+    ``threshold``: the least disclosure at which a term is removed where an entity may stand; ``alone``: at which a single
+    term is, without anything that calls for it. ``places`` adds the terms that are generalised, as kind ``place``.
+    """
+    found, general = _judged(_scanned(notes, key, text), threshold, alone)
+    return (found.unionByName(general) if places else found).select(F.col("__key").alias(key), "kind", "start_pos", "end_pos")
 
 
 def _write_over(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -235,7 +271,7 @@ def _write_over(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
                 out.append(text)
                 continue
             parts, at = [], 0
-            for x in sorted(spans, key=lambda x: x["start_pos"]):
+            for x in sorted(spans, key=lambda x: (x["start_pos"], x["kind"] == "place", -x["end_pos"])):
                 if x["start_pos"] < at:
                     continue
                 parts += [text[at : x["start_pos"]], PLACEHOLDERS[x["kind"]]]

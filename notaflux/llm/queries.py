@@ -59,7 +59,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_sanitised(spark: SparkSession, root: str) -> DataFrame:
     notes = _consultations(spark, root)
-    return personal.sanitised(notes, personal.personal_spans(notes))
+    return personal.sanitised(notes, personal.personal_spans(notes, places=True))
 
 
 def _matched(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:

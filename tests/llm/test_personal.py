@@ -41,6 +41,35 @@ def test_people_by_disclosure(spark):
     assert out[5]["text"] == NOTES[5] and out[6]["text"] is None and out[7]["text"] == "" and len(out) == 9
 
 
+def test_a_single_revealing_name_is_removed(spark):
+    texts = ["Nome da mãe: Ana Lumireira.", "Falar com Lumireira hoje.", "Ontem Lumireira voltou.", "Ontem Febre voltou."] + ["Paciente Febre refere. febre febre febre febre"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id bigint, text string")
+    found = {(r["note_id"], texts[r["note_id"]][r["start_pos"] : r["end_pos"]]) for r in P.personal_spans(df, alone=0.75).collect()}
+    assert found == {(0, "Ana Lumireira"), (1, "Lumireira"), (2, "Lumireira")}
+    assert (2, "Lumireira") not in {(r["note_id"], texts[r["note_id"]][r["start_pos"] : r["end_pos"]]) for r in P.personal_spans(df, alone=1.1).collect()}
+
+
+def test_disclosure_of_every_class(spark):
+    texts = ["Mora na rua Jandira, 12. Tel. 3238-1228", "Vive na rua Jandira, 40.", "Perto de Jandira ficou. Ver rua, rua e rua.", "CPF 467.799.859-00", "a@b.test.example", "Ontem Jandira fechou."]
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id bigint, text string")
+    d = {(r["kind"], r["term"]): r for r in P.disclosures(P._scanned(df, "note_id", "text")).collect()}
+    assert {k for k, _ in d} == {"address", "phone", "identity", "email"}
+    assert d["phone", "32381228"]["disclosure"] == 1.0 == d["identity", "46779985900"]["disclosure"] == d["email", "a@btestexample"]["disclosure"] and d["address", "rua"]["disclosure"] < d["address", "jandira"]["disclosure"] < 1
+    kinds = sorted(r["kind"] for r in P.personal_spans(df, threshold=0.99).collect())
+    assert kinds == ["email", "identity", "phone"]
+    out = {r["note_id"]: r["text"] for r in P.sanitised(df, P.personal_spans(df, threshold=0.4, alone=0.4, places=True)).collect()}
+    assert out[2] == texts[2]  # "de" before it makes it part of a place's name
+    assert P.sanitised(df, P.personal_spans(df, threshold=0.4, alone=0.4, places=True)).where("note_id = 5").first()["text"] == "Ontem [LOCAL] fechou."
+    assert out[0] == "Mora na [ENDERECO]. Tel. [TELEFONE]" and out[4] == "[EMAIL]"
+
+
+def test_a_form_that_the_corpus_writes_elsewhere_is_no_entity(spark):
+    texts = ["Contato 3238-1228"] + [f"Protocolo: 3238-1228 e guia 3238-1228, lote: 3238-1228 n{i}" for i in range(40)] + [f"tel. 9{i:04d}-{7000 + i}" for i in range(10, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id bigint, text string")
+    found = {r["note_id"] for r in P.personal_spans(df).collect()}
+    assert 0 not in found and len(found) == 30
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "note_id bigint, text string")
     assert P.personal_spans(df).count() == 0 and P.sanitised(df, P.personal_spans(df)).count() == 0
