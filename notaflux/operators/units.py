@@ -1,11 +1,16 @@
 """Quantities recorded in different units, brought to one unit for each quantity.
 
 The text of a record is read inside the JVM: which quantity it names, its one number and its unit. Units are vectors of
-physical dimensions with a factor to the base unit, so two units convert if their dimensions agree, or if an identity of
-the quantity bridges them (amount of substance times molar mass is mass; volume times density is mass). Of all
-combinations of unit reading and identity that physics allows, the one with the least log residual against the typical
-value of the quantity is chosen; where the next best is as near, the record is flagged as not unique. A number without a
-unit is solved in the same way, over all units of the quantity, and flagged as inferred.
+physical dimensions with a factor to the base unit, so two units convert if their dimensions agree, or if a physical
+identity among the columns of the quantity bridges them: mass = amount of substance x molar mass, mass = density x volume.
+Of all combinations of unit reading and identity that physics allows, the one with the least log residual against the
+typical value of the quantity is chosen; where the next best is as near and differs, the record is flagged as ambiguous.
+A number without a unit is solved in the same way, over all units of the quantity, and flagged as inferred.
+
+``solve_columns`` does the same for quantities that stand in columns of their own: of all units that each column may be
+in, it chooses the combination under which an identity among the columns (mass = density x volume) holds best.
+
+Texts are read once each, however many records repeat them.
 
 Defined results: null and empty texts, texts that name no quantity or several, hold no number or several, or state a
 bound or range give no row; records delivered twice count once; an empty table gives no row.
@@ -15,6 +20,8 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +42,9 @@ MOLARITY = {"m": 1.0, "mm": 1e-3, "um": 1e-6}
 CELSIUS = ("c", "°c", "ºc", "oc", "℃", "graus c", "graus celsius", "grau c", "celsius")
 FAHRENHEIT = ("f", "°f", "ºf", "graus f", "graus fahrenheit", "fahrenheit")
 THOUSANDS = ("mil", "k", "x103", "x10^3", "10^3", "103")
+#: Identities between dimensions: a product is the factor times a constant of the quantity, which a column gives in these
+#: base units (g/mol, g/L). Per volume they hold as well.
+IDENTITIES = (("mass", "amount", "molar_mass", 1.0), ("mass", "volume", "density", 1000.0))
 # Wording of bounds and ranges, folded.
 BOUNDS = r"[<>≤≥]|\b(?:ate|acima|abaixo|maior|menor|superior|inferior|entre|minimo|maximo|mais de|menos de|pelo menos|a partir)\b"
 # Numbers that belong to a remark, folded.
@@ -79,8 +89,9 @@ def number(text: Column) -> Column:
     return F.translate(F.when(small, text).otherwise(joined), ",", ".").try_cast("double")
 
 
-def stated(records: DataFrame, quantities: DataFrame, implied: str = "implied") -> DataFrame:
-    """(source_table, record_id, quantity_id, number, unit or null) of records (source_table, record_id, text, implied).
+def stated(texts: DataFrame, quantities: DataFrame, implied: str = "implied") -> DataFrame:
+    """(text, implied, quantity_id, number, unit or null) of texts (text, implied); what states no quantity and one number
+    gives no row.
 
     ``implied`` names the quantity of records that do not name theirs. The vocabulary of quantities is a table of fixed
     size (19 rows) and becomes part of the plan.
@@ -92,7 +103,7 @@ def stated(records: DataFrame, quantities: DataFrame, implied: str = "implied")
     alias_re = rf"(?<![a-z0-9])(?:{either(alias_of or ['~'])})(?![a-z0-9])"
     unit_re = rf"(?<![a-z])(?:{either(u[0] for u in unit_rows())})(?![a-z0-9%/^])"
 
-    text = records.where(F.col("text").rlike("[0-9]")).select("source_table", "record_id", implied, folded(F.col("text")).alias("t"))
+    text = texts.where(F.col("text").rlike("[0-9]")).select("text", implied, folded(F.col("text")).alias("t"))
     found = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(f"({alias_re})"), F.lit(1)), lambda a: F.try_element_at(names, a)))
     read = text.where(~F.col("t").rlike(BOUNDS)).withColumn("q", found).withColumn("rest", F.regexp_replace("t", alias_re, " ; "))
     read = read.withColumn("quantity_id", F.when(F.size("q") == 1, F.get("q", F.lit(0))).when((F.size("q") == 0) & F.col(implied).isNotNull(), F.try_element_at(implied_id, F.col(implied))))
@@ -103,54 +114,119 @@ def stated(records: DataFrame, quantities: DataFrame, implied: str = "implied")
     bare = F.regexp_replace(F.regexp_replace(F.col("rest"), placed, " ; "), REMARKS, " ; ")
     read = read.withColumn("numbers", F.regexp_extract_all(bare, F.lit(rf"(?<![a-z\d^.,])({NUMBER})(?![a-z\d])"), F.lit(1)))
     one = read.where("size(numbers) = 1 and size(units) <= 1")
-    return one.where(F.col(implied).isNull() | (F.size("units") == 1)).select("source_table", "record_id", "quantity_id", number(F.get("numbers", F.lit(0))).alias("number"), F.get("units", F.lit(0)).alias("unit")).where("number is not null")
+    return one.where(F.col(implied).isNull() | (F.size("units") == 1)).select("text", implied, "quantity_id", number(F.get("numbers", F.lit(0))).alias("number"), F.get("units", F.lit(0)).alias("unit")).where("number is not null")
 
 
 def conversions(spark: SparkSession, quantities: DataFrame) -> DataFrame:
     """(quantity_id, unit, dimension, scale, shift, common, decimals): every unit of every quantity that physics allows.
 
-    value in the common unit = (number + shift) * scale. Identities: the same dimension; amount = mass / molar mass.
+    value in the common unit = (number + shift) * scale. Units convert within their dimension and by ``IDENTITIES``, of
+    which each needs its constant in a column of ``quantities`` (``molar_mass`` in g/mol, ``density`` in g/mL; a column
+    that is not there counts as null).
     """
     units = spark.createDataFrame(unit_rows(), "unit string, dimension string, factor double, shift double")
     goal = units.select(F.col("unit").alias("goal"), F.col("dimension").alias("goal_dimension"), F.col("factor").alias("goal_factor"), F.col("shift").alias("goal_shift"))
-    wanted = quantities.select("quantity_id", "common_unit", "decimals", "molar_mass", folded(F.col("common_unit")).alias("goal")).join(F.broadcast(goal), "goal")  # fixed tables
-    same = F.col("dimension") == F.col("goal_dimension")
-    swap = lambda a, b: (F.col("dimension") == a) & (F.col("goal_dimension") == b)
-    bridge = (
-        F.when(same, F.lit(1.0))
-        .when(swap("amount/volume", "mass/volume") | swap("amount", "mass"), F.col("molar_mass"))
-        .when(swap("mass/volume", "amount/volume") | swap("mass", "amount"), 1 / F.col("molar_mass"))
-    )
+    constant = [(F.col(c) if c in quantities.columns else F.lit(None)).cast("double").alias(c) for *_, c, _ in IDENTITIES]
+    wanted = quantities.select("quantity_id", "common_unit", "decimals", *constant, folded(F.col("common_unit")).alias("goal")).join(F.broadcast(goal), "goal")  # fixed tables
+    bridge = F.when(F.col("dimension") == F.col("goal_dimension"), F.lit(1.0))
+    for product, factor, column, base in IDENTITIES:
+        for per in ("", "/volume"):
+            if factor + per == "volume/volume":
+                continue
+            swap = lambda a, b, per=per: (F.col("dimension") == a + per) & (F.col("goal_dimension") == b + per)
+            bridge = bridge.when(swap(factor, product), F.col(column) * base).when(swap(product, factor), 1 / (F.col(column) * base))
     return wanted.crossJoin(F.broadcast(units)).withColumn("bridge", bridge).where("bridge is not null").select(
         "quantity_id", "unit", "dimension", (F.col("factor") * F.col("bridge") / F.col("goal_factor")).alias("scale"), F.col("shift"), (-F.col("goal_shift")).alias("back"), "common_unit", "decimals")
 
 
+def _log(c: Column) -> Column:
+    return F.log10(F.greatest(F.abs(c), F.lit(1e-12)))
+
+
+def nearest(ways: Column, tolerance: float) -> Column:
+    """STRUCT<residual, value, unit, unique> of the way (residual, value, unit) of least residual; ``unique`` unless
+    another within ``tolerance`` gives another value."""
+    ordered = F.array_sort(ways)
+    first = ordered[0]
+    near = F.filter(ordered, lambda w: (w.residual <= first.residual + tolerance) & (F.abs(w.value - first.value) > 1e-9 * F.abs(w.value)))
+    return F.struct(first.residual.alias("residual"), first.value.alias("value"), first.unit.alias("unit"), (F.size(near) == 0).alias("unique"))
+
+
 def to_common_units(records: DataFrame, quantities: DataFrame, tolerance: float = 0.15) -> DataFrame:
     """(source_table, record_id, quantity_id, number, unit, value, scaled_value, residual, solution) of each record.
 
     ``solution``: unique, inferred (no unit is stated, one fits best) or ambiguous (others are within ``tolerance`` of the
     least log residual with another value; the best is given).
     """
-    spark = records.sparkSession
-    known = cut(stated(records, quantities))  # read by three branches
-    table = F.broadcast(conversions(spark, quantities))  # units times quantities, both fixed
+    records = cut(records.where(F.col("text").rlike("[0-9]")).select("source_table", "record_id", "text", "implied"))  # read twice
+    known = cut(stated(records.groupBy("text", "implied").agg(F.count(F.lit(1)).alias("__n")).select("text", "implied"), quantities))
+    counts = records.groupBy("text", "implied").agg(F.count(F.lit(1)).alias("times"))
+    same_text = (F.col("a.text") == F.col("b.text")) & F.col("a.implied").eqNullSafe(F.col("b.implied"))
+    amounts = known.alias("a").join(counts.alias("b"), same_text).groupBy("quantity_id", "number", "unit").agg(F.sum("times").alias("times"))
+    solved = _solved(amounts, F.broadcast(conversions(records.sparkSession, quantities)), tolerance)  # units times quantities, both fixed
+    by_text = known.join(solved.alias("s"), (known["quantity_id"] == F.col("s.quantity_id")) & (known["number"] == F.col("s.number")) & known["unit"].eqNullSafe(F.col("s.unit"))).select(known["text"], known["implied"], "s.*")
+    return records.alias("a").join(by_text.alias("b"), same_text).select(
+        "source_table", "record_id", *[F.col(f"b.{c}") for c in ("quantity_id", "number", "unit", "value", "scaled_value", "residual", "solution")])
+
+
+def _solved(amounts: DataFrame, table: DataFrame, tolerance: float) -> DataFrame:
+    """Each distinct (quantity_id, number, unit), with how many records state it, in the common unit."""
+    amounts = cut(amounts)  # read by three branches
     value = (F.col("number") + F.col("shift")) * F.col("scale") + F.col("back")
-    spelled = known.where("unit is not null").join(table, ["quantity_id", "unit"]).withColumn("value", value).withColumn("stated", F.lit(True))
-    log = F.log10(F.greatest(F.abs(F.col("value")), F.lit(1e-12)))
-    # typical value: readings with one solution only; one row per quantity
-    plain = spelled.groupBy("source_table", "record_id", "quantity_id").agg(F.min("value").alias("value"), F.max("value").alias("most")).where("value = most")
-    typical = plain.groupBy("quantity_id").agg(F.avg(log).alias("centre"), F.stddev_pop(log).alias("spread"))
-    silent = known.where("unit is null").join(table.drop("unit").dropDuplicates(["quantity_id", "scale", "shift"]), "quantity_id").withColumn("value", value).withColumn("stated", F.lit(False)).withColumn("unit", F.lit(None).cast("string"))
-    columns = ["source_table", "record_id", "quantity_id", "number", "unit", "value", "decimals", "stated"]
-    readings = spelled.select(*columns).unionByName(silent.select(*columns)).join(F.broadcast(typical), "quantity_id", "left")  # a row per quantity
-    residual = F.round(F.abs(log - F.coalesce("centre", log)), 9)
-    best = readings.withColumn("residual", residual).groupBy("source_table", "record_id", "quantity_id", "number", "unit", "decimals", "stated").agg(
-        F.array_sort(F.collect_set(F.struct("residual", "value"))).alias("ways"))
-    near = F.filter("ways", lambda w: (w.residual <= F.col("ways")[0].residual + tolerance) & (F.abs(w.value - F.col("ways")[0].value) > 1e-9 * F.abs(w.value)))
-    scaled = F.bround(F.round(F.col("value") * F.pow(F.lit(10.0), F.col("decimals")), 6), 0).cast("bigint")
-    return best.withColumn("value", F.col("ways")[0].value).select(
-        "source_table", "record_id", "quantity_id", "number", "unit", "value", scaled.alias("scaled_value"), F.col("ways")[0].residual.alias("residual"),
-        F.when(F.size(near) > 0, "ambiguous").when(F.col("stated"), "unique").otherwise("inferred").alias("solution"))
+    on = ["quantity_id", "number", "unit", "times"]
+    spelled = amounts.where("unit is not null").join(table, ["quantity_id", "unit"]).select(*on, "decimals", value.alias("value"), F.col("unit").alias("as"), F.lit(True).alias("stated"))
+    # typical value: readings with one solution only; a row per quantity
+    plain = spelled.groupBy("quantity_id", "number", "unit").agg(F.min("value").alias("value"), F.max("value").alias("most"), F.first("times").alias("times")).where("value = most")
+    typical = plain.groupBy("quantity_id").agg((F.sum(_log(F.col("value")) * F.col("times")) / F.sum("times")).alias("centre"))
+    silent = amounts.where("unit is null").join(table.select(F.col("quantity_id"), F.col("unit").alias("as"), "scale", "shift", "back", "decimals").dropDuplicates(["quantity_id", "scale", "shift"]), "quantity_id").select(
+        *on, "decimals", value.alias("value"), "as", F.lit(False).alias("stated"))
+    readings = spelled.unionByName(silent).join(F.broadcast(typical), "quantity_id", "left")  # a row per quantity
+    residual = F.round(F.abs(_log(F.col("value")) - F.coalesce("centre", _log(F.col("value")))), 9)
+    best = readings.groupBy("quantity_id", "number", "unit", "decimals", "stated").agg(nearest(F.collect_set(F.struct(residual.alias("residual"), "value", F.col("as").alias("unit"))), tolerance).alias("b"))
+    scaled = F.bround(F.round(F.col("b.value") * F.pow(F.lit(10.0), F.col("decimals")), 6), 0).cast("bigint")
+    return best.select(
+        "quantity_id", "number", "unit", F.col("b.value").alias("value"), scaled.alias("scaled_value"), F.col("b.residual").alias("residual"),
+        F.when(~F.col("b.unique"), "ambiguous").when(F.col("stated"), "unique").otherwise("inferred").alias("solution"))
+
+
+def solve_columns(df: DataFrame, identity: dict[str, int], units: dict[str, dict[str, float]], by: tuple[str, ...] = (), tolerance: float = 0.15) -> DataFrame:
+    """``df`` with ``<column>_unit`` and ``<column>_base`` for each column of ``identity``, ``residual`` and ``solution``.
+
+    ``identity``: the exponents with which the columns multiply to 1 in base units, as {"mass": 1, "density": -1,
+    "volume": -1}; ``units``: the units that each column may be in, with their factors to the base unit. Of all
+    combinations the one with the least log residual is taken: row by row, or, as a source keeps its units, once for each
+    group of ``by`` (least mean residual; rows with a null group key form a group). ``solution`` is unique, ambiguous
+    (another combination, with other values, is within ``tolerance``) or unsolved (a null or no positive number in one of
+    the columns, or in all rows of the group).
+
+    The residual of a combination is the row's own log residual plus a constant, so rows are never multiplied by
+    combinations: groups meet them as columns of one aggregation, combined before the shuffle.
+    """
+    columns = list(identity)
+    ways = [(names, [units[c][u] for c, u in zip(columns, names, strict=True)]) for names in product(*(units[c] for c in columns))]
+    moves = [sum(identity[c] * math.log10(f) for c, f in zip(columns, factors, strict=True)) for _, factors in ways]
+    usable = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) > 0, F.lit(False)) for c in columns])
+    own = F.when(usable, reduce(lambda a, b: a + b, [identity[c] * F.log10(F.col(c)) for c in columns]))
+    residuals = [F.abs(own + m) for m in moves]
+    if by:
+        of_group = df.groupBy(*by).agg(F.array(*[F.avg(r) for r in residuals]).alias("__r"))
+        met = df.alias("l").join(of_group.alias("r"), reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by])).select("l.*", "__r")
+    else:
+        met = df.withColumn("__r", F.array(*residuals))
+    least = F.array_min("__r")
+    at = F.array_position("__r", least)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    # combinations of equal factors are one solution under several names
+    alike = F.array(*[F.lit("|".join(f"{math.log10(f):.9f}" for f in factors)) for _, factors in ways])
+    near = F.filter(F.arrays_zip(F.col("__r").alias("r"), alike.alias("w")), lambda x: (x.r <= least + tolerance) & (x.w != F.element_at(alike, at.cast("int"))))
+    solved = least.isNotNull() & (usable if not by else F.lit(True))
+    out = {}
+    for i, c in enumerate(columns):
+        out[f"{c}_unit"] = F.when(solved, pick([names[i] for names, _ in ways]))
+        out[f"{c}_base"] = F.when(solved, F.col(c) * pick([factors[i] for _, factors in ways]))
+    out["residual"] = F.when(solved, F.round(least, 9))
+    out["solution"] = F.when(~solved, "unsolved").when(F.size(near) > 0, "ambiguous").otherwise("unique")
+    return met.withColumns(out).drop("__r")
 
 
 def records_of(entities: DataFrame, observations: DataFrame) -> DataFrame:

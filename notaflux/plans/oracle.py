@@ -9,6 +9,8 @@ from notaflux.functions.vocab import ENTITY_TYPES, Abbreviations, Gazetteers
 from notaflux.operators import fhir, relations, summaries
 from notaflux.sources.notes import NOTE_TEXT
 
+#: Entries that a caller adds to the dictionary.
+MERGED = {"DM2": "Diabetes tipo dois", "SC": "Por via subcutanea", "oral": "pela boca"}
 NUM = r"\d+[.,]?\d*"
 _MEASURE = r"mg|ml|mcg|g|kg|mm|cm|mmHg|bpm|UI|mEq|mmol|L|dL|mL|ug|ng|pg|U|%|x103|/mm3"
 _LAB = r"mg/dL|g/dL|mmol/L|mEq/L|U/L|ng/mL|pg/mL|mcg/dL|mm3|/mm3|%|mil/mm3|x103/uL"
@@ -102,25 +104,31 @@ def _on_notes(select: str) -> str:
     return f"WITH {NOTES}, {_entities('notes')} {select}"
 
 
-def _abbreviation_map() -> str:
-    known = Abbreviations.builtin().mapping
+def _abbreviation_map(more: dict[str, str] | None = None) -> str:
+    known = Abbreviations.builtin().mapping | (more or {})
     keys, values = (", ".join(f"'{_q(x)}'" for x in xs) for xs in (known.keys(), known.values()))
     return f"MAP([{keys}], [{values}])"
 
 
-def _expand(text: str, inline: bool) -> str:
-    words = sorted(Abbreviations.builtin().mapping, key=len, reverse=True)
+def _expand(text: str, inline: bool, more: dict[str, str] | None = None) -> str:
+    words = sorted(Abbreviations.builtin().mapping | (more or {}), key=len, reverse=True)
     pattern = rf"(?i:\b(?:{'|'.join(w.replace('.', '[.]') for w in words)})\b)"
     new = "coalesce(m[p[i]], m[upper(p[i])], p[i])" if inline else "p[i] || coalesce(' (' || coalesce(m[p[i]], m[upper(p[i])]) || ')', '')"
     return (f"(SELECT array_to_string(list_transform(generate_series(1, len(p)), lambda i: CASE WHEN i % 2 = 0 THEN {new} ELSE p[i] END), '') "
-            f"FROM (SELECT {_parts(text, pattern)} AS p, {_abbreviation_map()} AS m))")
+            f"FROM (SELECT {_parts(text, pattern)} AS p, {_abbreviation_map(more)} AS m))")
 
 
-def _normalized(text: str) -> str:
-    """SQL of the normalisation of ASCII notes."""
+def _kept(text: str) -> str:
+    """(note_id, k0 .. k3, t0 .. t4): what the four patterns protect, and the text that each leaves."""
     inner = f"(SELECT note_id, {text} AS t0 FROM notes)"
     for k, p in enumerate(PROTECT):
         inner = f"(SELECT *, regexp_extract_all(t{k}, '{_q(p)}') AS k{k}, regexp_replace(t{k}, '{_q(p)}', '_' || chr({k + 4}) || '_', 'g') AS t{k + 1} FROM {inner})"
+    return inner
+
+
+def _normalized(text: str) -> str:
+    """SQL of the normalisation of ASCII notes."""
+    inner = _kept(text)
     body = f"lower({_strip(r"regexp_replace(regexp_replace(t4, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")})"
     inner = f"(SELECT *, {body} AS r0 FROM {inner})"
     for k in range(4):
@@ -129,6 +137,30 @@ def _normalized(text: str) -> str:
     return f"SELECT note_id, r4 AS text FROM {inner}"
 
 
+def _uid(*of: str) -> str:
+    h = "md5(" + " || '|' || ".join(of) + ")"
+    return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12))"
+
+
+def _resource_json() -> str:
+    """(note_id, no, kind, id, j) of the resources of ent, as JSON; dates are those of the fixed day."""
+    rid = _uid("note_id", "s", "e", "entity_type")
+    subject = """',"subject":{"reference":"Patient/' || CASE WHEN note_id % 97 > 0 THEN 'pac-' || (note_id % 97) ELSE 'synthetic-patient-001' END || '"}'"""
+    note = """',"note":[{"text":"Extraido automaticamente por NLP (confianca: ' || printf('%.2f', confidence) || ')"}]}'"""
+    text = "CAST(to_json(t) AS VARCHAR)"
+    coding = lambda system, code, display: f'{{"coding":[{{"system":"http://terminology.hl7.org/CodeSystem/{system}","code":"{code}","display":"{display}"}}]}}'
+    head = lambda kind: f"""'{{"resourceType":"{kind}","id":"' || {rid} || '"'"""
+    condition = f"""{head('Condition')} || ',"clinicalStatus":{coding('condition-clinical', 'active', 'Active')},"verificationStatus":{coding('condition-ver-status', 'confirmed', 'Confirmed')},"code":{{"text":' || {text} || '}}' || {subject} || ',"recordedDate":"2024-01-01"' || {note}"""
+    other = lambda kind, status, named, dated, more="''": f"""{head(kind)} || ',"status":"{status}","{named}":{{"text":' || {text} || '}}' || {subject} || ',"{dated}":"2024-01-01"' || {more} || {note}"""
+    value = f"""',"valueString":' || {text}"""
+    return f"""SELECT note_id, no, CASE entity_type WHEN 'CONDICAO' THEN 'Condition' WHEN 'MEDICAMENTO' THEN 'MedicationStatement' WHEN 'PROCEDIMENTO' THEN 'Procedure' ELSE 'Observation' END AS kind, {rid} AS id,
+        CASE entity_type WHEN 'CONDICAO' THEN {condition} WHEN 'MEDICAMENTO' THEN {other('MedicationStatement', 'active', 'medicationCodeableConcept', 'effectiveDateTime')}
+        WHEN 'PROCEDIMENTO' THEN {other('Procedure', 'completed', 'code', 'performedDateTime')} ELSE {other('Observation', 'final', 'code', 'effectiveDateTime', value)} END AS j FROM ent WHERE entity_type <> 'DOSAGEM'"""
+
+
+_RESOURCE_JSON = _resource_json()
+_BUNDLE_JSON = f"""'{{"resourceType":"Bundle","id":"' || {_uid("note_id", "'Bundle'")} || '","type":"transaction","timestamp":"2024-01-01T00:00:00+00:00","entry":[' ||
+    string_agg('{{"fullUrl":"http://localhost:8080/fhir/' || kind || '/' || id || '","resource":' || j || ',"request":{{"method":"POST","url":"' || kind || '"}}}}', ',' ORDER BY no) || ']}}'"""
 _GROUP_ORDER = " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(summaries.GROUPS))
 _RESOURCE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fhir.RESOURCES.items())
 _STATUS = "CASE entity_type WHEN 'MEDICAMENTO' THEN 'active' WHEN 'PROCEDIMENTO' THEN 'completed' WHEN 'VALOR_LABORATORIAL' THEN 'final' END"
@@ -158,7 +190,11 @@ def oracle_sql() -> dict[str, str]:
         "normalize_lower": "SELECT doc_id, lower(text) AS text FROM documents",
         "normalize_nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
         "normalize_full": f"WITH {NOTES} {_normalized('text')}",
-        "protected_measurements": f"WITH {NOTES} SELECT note_id, array_to_string(regexp_extract_all(text, '{_q(PROTECT[0])}'), '|') AS kept FROM notes",
+        "protected_measurements": f"WITH {NOTES} SELECT note_id, " + ", ".join(f"array_to_string(k{k}, '|') AS {name}" for k, name in enumerate(("measurements", "per_unit", "dates", "times"))) + f" FROM {_kept('text')}",
+        "abbreviations_merged": f"WITH {NOTES} SELECT note_id, {_expand('notes.text', True, MERGED)} AS text FROM notes",
+        "entities_confident": _on_notes(f"SELECT note_id, CAST(row_number() OVER (PARTITION BY note_id ORDER BY no) - 1 AS INTEGER) AS entity_no, t AS text, entity_type, s AS start_pos, e AS end_pos, confidence, source FROM ent WHERE confidence >= 0.87"),
+        "fhir_resource_json": _on_notes(f"SELECT note_id, no AS entity_no, j AS resource FROM ({_RESOURCE_JSON})"),
+        "fhir_bundle_json": _on_notes(f"SELECT note_id, {_BUNDLE_JSON} AS bundle FROM ({_RESOURCE_JSON}) GROUP BY note_id"),
         "abbreviations_inline": f"WITH {NOTES} SELECT note_id, {_expand('notes.text', True)} AS text FROM notes",
         "abbreviations_in_brackets": f"WITH {NOTES} SELECT note_id, {_expand('notes.text', False)} AS text FROM notes",
         "abbreviation_dictionary": f"SELECT unnest(map_keys(m)) AS abbreviation, unnest(map_values(m)) AS expansion FROM (SELECT {_abbreviation_map()} AS m)",
@@ -200,6 +236,13 @@ def oracle_sql() -> dict[str, str]:
     head, tail = (_q(t).replace("\n", "' || chr(10) || '") for t in (f"{summaries.SYSTEM_PROMPT}\n\n{summaries.PROMPT_ENTITIES}", summaries.PROMPT_TASK))
     out["prompt_text"] = (f"WITH l AS ({out['prompt_lines']}), {NOTES} SELECT note_id, '{head}' || lines || chr(10) || chr(10) || '{_q(summaries.PROMPT_TEXT.strip())}' || chr(10) || "
                           f"substring(text, 1, 2000) || chr(10) || chr(10) || '{tail}' AS prompt FROM l JOIN notes USING (note_id)")
+    out["generated_summaries"] = f"SELECT note_id, CAST(length(prompt) AS VARCHAR) AS summary FROM ({out['prompt_text']})"
+    sections = out["fhir_sections"].rpartition("SELECT note_id, title, code,")
+    out["fhir_composition_json"] = f"""{sections[0]} SELECT notes.note_id, '{{"resourceType":"Composition","id":"' || {_uid("notes.note_id", "'Composition'")} ||
+        '","status":"final","type":{{"coding":[{{"system":"http://loinc.org","code":"11488-4","display":"Consultation Note"}}]}},"subject":{{"reference":"Patient/' ||
+        CASE WHEN notes.note_id % 97 > 0 THEN 'pac-' || (notes.note_id % 97) ELSE 'synthetic-patient-001' END || '"}},"date":"2024-01-01T00:00:00+00:00","title":"Resumo Clinico Gerado por NLP","section":[' || coalesce(j, '') || ']}}' AS composition
+        FROM notes LEFT JOIN (SELECT note_id, string_agg('{{"title":"' || title || '","code":{{"text":"' || code || '"}},"text":{{"status":"generated","div":' || CAST(to_json(div) AS VARCHAR) || '}}}}', ','
+          ORDER BY CASE title WHEN 'Condicoes Clinicas' THEN 1 WHEN 'Medicamentos' THEN 2 WHEN 'Procedimentos' THEN 3 ELSE 4 END) AS j FROM ({sections[1]}{sections[2]}) GROUP BY note_id) USING (note_id)"""
     for name, pattern in DOSE.items():
         out[name] = f"WITH {NOTES} SELECT note_id, t AS text, s AS start_pos, e AS end_pos FROM ({_matches('notes', pattern)})"
     out["lab_values"] = f"WITH {NOTES} " + " UNION ALL ".join(f"SELECT note_id, t AS text, s AS start_pos, e AS end_pos FROM ({_matches('notes', p)})" for p in LAB)

@@ -11,15 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notaflux.conf import EngineConf
 from notaflux.functions import patterns
 from notaflux.functions.spans import exploded, spans
-from notaflux.functions.vocab import ENTITY_TYPES, Gazetteers
+from notaflux.functions.vocab import ENTITY_TYPES, Abbreviations, Gazetteers
 from notaflux.operators import abbreviations, entities, fhir, normalize, relations, summaries, tokens, units
 from notaflux.plans import oracle, pipeline
 from notaflux.sources.notes import order_notes
 from notaflux.sources.tables import once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Entries that a caller adds to the dictionary.
+MERGED = {"DM2": "Diabetes tipo dois", "SC": "Por via subcutanea", "oral": "pela boca"}
 
 
 def _document_query(change: Callable[[Column], Column]) -> Query:
@@ -59,7 +62,8 @@ def normalize_full(spark: SparkSession, root: str) -> DataFrame:
 
 
 def protected_measurements(spark: SparkSession, root: str) -> DataFrame:
-    return order_notes(spark, root).select("note_id", F.array_join(F.get(normalize.protected(F.col("text")), F.lit(0)), "|").alias("kept"))
+    kept = order_notes(spark, root).select("note_id", normalize.protected(F.col("text")).alias("k"))
+    return kept.select("note_id", *[F.array_join(F.get("k", F.lit(i)), "|").alias(name) for i, name in enumerate(("measurements", "per_unit", "dates", "times"))])
 
 
 def abbreviations_inline(spark: SparkSession, root: str) -> DataFrame:
@@ -70,6 +74,12 @@ def abbreviations_in_brackets(spark: SparkSession, root: str) -> DataFrame:
     return order_notes(spark, root).select("note_id", abbreviations.expand(F.col("text"), inline=False).alias("text"))
 
 
+def abbreviations_merged(spark: SparkSession, root: str) -> DataFrame:
+    """Expansion by the built-in dictionary with entries of the caller, which win."""
+    known = Abbreviations.builtin().added(MERGED)
+    return order_notes(spark, root).select("note_id", abbreviations.expand(F.col("text"), known).alias("text"))
+
+
 def abbreviation_dictionary(spark: SparkSession, root: str) -> DataFrame:
     return abbreviations.dictionary(spark)
 
@@ -122,6 +132,12 @@ def entities_top(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("note_id", "x.text", "x.entity_type", F.col("x.start").alias("start_pos"), F.col("x.end").alias("end_pos"))
 
 
+def entities_confident(spark: SparkSession, root: str) -> DataFrame:
+    """Entities over a threshold that only one way of finding them reaches."""
+    found = entities.with_entities(order_notes(spark, root), conf=EngineConf(confidence_threshold=0.87))
+    return entities.entity_rows(found, "note_id")
+
+
 def entity_stats(spark: SparkSession, root: str) -> DataFrame:
     s = _entities(spark, root).select("note_id", entities.stats(F.col("entities")).alias("s"))
     return s.select("note_id", F.col("s.total").cast("bigint").alias("total"), *[F.col("s.by_type").getItem(k).cast("bigint").alias(k.lower()) for k, *_ in ENTITY_TYPES], F.round("s.avg_confidence", 6).alias("avg_confidence"))
@@ -168,6 +184,30 @@ def prompt_text(spark: SparkSession, root: str) -> DataFrame:
     return _related(spark, root).select("note_id", summaries.prompt(F.col("entities"), F.col("relations"), F.col("text")).alias("prompt"))
 
 
+def generated_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """The call of a client for each prompt; this one answers with the length of what it is asked."""
+    return summaries.generated(prompt_text(spark, root), lambda: lambda prompt: str(len(prompt)), key="note_id").select("note_id", "summary")
+
+
+def _with_patient(notes: DataFrame) -> DataFrame:
+    """A patient for each note, null for some."""
+    return notes.withColumn("patient", F.when(F.col("note_id") % 97 > 0, F.concat(F.lit("pac-"), (F.col("note_id") % 97).cast("string"))))
+
+
+def fhir_resource_json(spark: SparkSession, root: str) -> DataFrame:
+    return fhir.resource_rows(_with_patient(_entities(spark, root)), "note_id", patient="patient").select("note_id", "entity_no", "resource")
+
+
+def fhir_bundle_json(spark: SparkSession, root: str) -> DataFrame:
+    made = _with_patient(_entities(spark, root))
+    return made.select("note_id", fhir.bundle(F.col("entities"), F.col("note_id"), fhir.patient_of("patient")).alias("bundle"))
+
+
+def fhir_composition_json(spark: SparkSession, root: str) -> DataFrame:
+    made = _with_patient(_summed(spark, root))
+    return made.select("note_id", fhir.composition(F.col("summary"), F.col("note_id"), fhir.patient_of("patient")).alias("composition"))
+
+
 def fhir_resources(spark: SparkSession, root: str) -> DataFrame:
     at = lambda path: F.get_json_object("resource", path)
     return fhir.resource_rows(_entities(spark, root), "note_id").select(
@@ -213,8 +253,8 @@ def clinical_flow(spark: SparkSession, root: str) -> DataFrame:
 
 
 def clinical_bundles(spark: SparkSession, root: str) -> DataFrame:
-    notes = once(table(spark, root, "clinical_texts"), "note_id", "received_at", "text")
-    return pipeline.documents_of(pipeline.expanded(notes), "note_id")
+    notes = once(table(spark, root, "clinical_texts"), "note_id", "received_at", "text", "patient_id")
+    return pipeline.documents_of(pipeline.expanded(notes), "note_id", patient="patient_id")
 
 
 def _common(spark: SparkSession, root: str) -> DataFrame:
@@ -223,7 +263,7 @@ def _common(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return _common(spark, root).where("solution = 'unique'").select("source_table", "record_id", "quantity_id", "scaled_value")
+    return _common(spark, root).where("unit is not null and solution = 'unique'").select("source_table", "record_id", "quantity_id", "scaled_value")
 
 
 def p5_common_units(spark: SparkSession, root: str) -> DataFrame:
@@ -232,9 +272,9 @@ def p5_common_units(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = (
-        normalize_full, protected_measurements, abbreviations_inline, abbreviations_in_brackets, abbreviation_dictionary, abbreviation_lookup, abbreviation_frequency,
-        token_types, document_sentences, sentence_tokens, entity_candidates, entities_top, entity_stats, entity_labels, relations_by_type, medication_profiles,
-        summary_groups, summary_medications, summary_json, prompt_lines, prompt_text, fhir_resources, fhir_bundle_counts, fhir_sections, entity_overview,
+        normalize_full, protected_measurements, abbreviations_inline, abbreviations_in_brackets, abbreviations_merged, abbreviation_dictionary, abbreviation_lookup, abbreviation_frequency,
+        token_types, document_sentences, sentence_tokens, entity_candidates, entities_top, entities_confident, entity_stats, entity_labels, relations_by_type, medication_profiles,
+        summary_groups, summary_medications, summary_json, prompt_lines, prompt_text, generated_summaries, fhir_resources, fhir_resource_json, fhir_bundle_json, fhir_composition_json, fhir_bundle_counts, fhir_sections, entity_overview,
         flow_report, flow_expanded, clinical_flow, clinical_bundles, p5_found, p5_common_units,
     )
     out: dict[str, Query] = {

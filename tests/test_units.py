@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from notaflux.operators import units
@@ -60,3 +62,43 @@ def test_empty_tables_and_extra_columns(spark, quantities):
     records = units.records_of(entities, observations)
     assert [(r["record_id"], r["scaled_value"]) for r in units.to_common_units(records, quantities).collect()] == [(1, 10_000)]
     assert units.to_common_units(records.limit(0), quantities).count() == 0
+
+
+def test_density_bridges_volume_and_mass(spark):
+    table = spark.createDataFrame([(1, "xarope", ["xarope"], "mg", 0, None, 1.25), (2, "soro", ["soro"], "mL", 1, None, None)], "quantity_id bigint, quantity string, aliases array<string>, common_unit string, decimals int, molar_mass double, density double")
+    got = solved(spark, table, [("xarope 2 mL", None), ("xarope 500 mg", None), ("soro 10 mg", None), ("soro 0,5 l", None)])
+    assert {i: r["scaled_value"] for i, r in got.items()} == {0: 2500, 1: 500, 3: 5000}
+
+
+UNITS = {"mass": {"g": 1.0, "kg": 1000.0}, "density": {"g/mL": 1000.0, "g/L": 1.0}, "volume": {"L": 1.0, "mL": 0.001}}
+MASS_IS = {"mass": 1, "density": -1, "volume": -1}
+
+
+def test_columns_are_solved_by_their_identity(spark):
+    rows = [
+        ("a", 1250.0, 1.25, 1.0),  # g, g/mL, L
+        ("b", 2.5, 1250.0, 2.0),  # kg, g/L, L
+        ("b", 5.1, 1250.0, 4.0), ("b", None, 1.0, 1.0),
+        ("c", 0.5, 1.0, 500.0),  # kg, g/mL, mL
+        (None, 10.0, 1.0, 10.0), (None, -1.0, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "source string, mass double, density double, volume double")
+    per_row = {(r["source"], r["mass"]): r for r in units.solve_columns(df, MASS_IS, UNITS, tolerance=0.01).collect()}
+    assert len(per_row) == 7
+    for (source, mass), r in per_row.items():
+        usable = mass is not None and mass > 0
+        assert (r["solution"] != "unsolved") == usable
+        if usable:
+            ways = [(abs(math.log10(mass * m / (r["density"] * d * r["volume"] * v))), um, ud, uv) for um, m in UNITS["mass"].items() for ud, d in UNITS["density"].items() for uv, v in UNITS["volume"].items()]
+            assert r["residual"] == pytest.approx(min(ways)[0], abs=1e-6) and any(w[1:] == (r["mass_unit"], r["density_unit"], r["volume_unit"]) and w[0] == pytest.approx(min(ways)[0], abs=1e-9) for w in ways)
+            assert (r["solution"] == "ambiguous") == (sum(w[0] <= min(ways)[0] + 0.01 for w in ways) > 1)
+
+
+def test_a_source_keeps_its_units(spark):
+    units_of = {"mass": {"g": 1.0, "kg": 1000.0}, "density": {"g/L": 1.0}, "volume": {"L": 1.0, "mL": 0.001}}
+    rows = [(s, i, 800.0 * v * (1 if s == "x" else 0.001), 800.0, float(v)) for s in "xy" for i, v in enumerate((1, 2, 5, 7))] + [("x", 9, 8.0e5, 800.0, 1.0), ("z", 0, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "source string, i int, mass double, density double, volume double")
+    got = units.solve_columns(df, MASS_IS, units_of, by=("source",)).collect()
+    assert {(r["source"], r["solution"]) for r in got} == {("x", "unique"), ("y", "ambiguous"), ("z", "unsolved")}
+    assert {(r["source"], r["mass_unit"], r["volume_unit"]) for r in got if r["source"] == "x"} == {("x", "g", "L")}
+    assert len(got) == len(rows) and units.solve_columns(df.limit(0), MASS_IS, units_of, by=("source",)).count() == 0
