@@ -68,6 +68,9 @@ _NAMED = {lang: frozenset(words.split()) for lang, words in BEFORE_NAME.items()}
 _FUNCTION = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 # abbreviations that one language alone writes speak for it
 _OWN = {lang: frozenset(w for w in _ALWAYS[lang] | _LOWER[lang] if len(w) > 1 and not any(w in _ALWAYS[o] | _LOWER[o] | _FUNCTION[o] for o in _FUNCTION if o != lang)) for lang in _FUNCTION}
+_ANYWHERE = frozenset().union(*_ALWAYS.values(), *_LOWER.values())
+_SPEAKS = {w: tuple(lang for lang in _FUNCTION if w in _FUNCTION[lang]) for words in _FUNCTION.values() for w in words}
+_SPEAKS_ALONE = {w: lang for lang, words in _OWN.items() for w in words}
 # where nothing tells the language of a text in Latin letters: what is an abbreviation in any of them, but for single letters
 for _table in (_ALWAYS, _LOWER, _NAMED):
     _table[None] = frozenset(w for lang in _NAMED for w in _table[lang] if len(w) > 1)
@@ -88,10 +91,13 @@ _EVENT = regex.compile(
 _PUNCT_PAIR = regex.compile(r"[\"()\[\]{}（）［］【】〔〕「」『』《》〈〉«»‹›“”„‚‘’]|\n[^\S\n]*\n")
 _NEW_LINE = regex.compile(r"\n\s*")
 _BLANK_LINE = regex.compile(r"\n[^\S\n]*\n")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}º°ª.]+")
+# what ends at a position, read backwards
+_WORD = regex.compile(r"(?r)[\p{L}\p{M}\p{N}º°ª.]+")
 _WORD_AND_STOP = regex.compile(r"(\p{L}+)(\.?)")
-_HYPHENED = regex.compile(r"[\p{L}\p{M}\p{N}-]+")
+_HYPHENED = regex.compile(r"(?r)[\p{L}\p{M}\p{N}-]+")
+_TOKEN_AND_SPACE = regex.compile(r"(?r)(\S*)\s*")
 _DOTTED = regex.compile(r"\p{L}{1,2}(?:\.\p{L}{1,3})+$")
+_OTHER_SCRIPT = regex.compile(r"[\p{Arabic}\p{Devanagari}\p{Thai}]")
 _LINE_END = regex.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]")
 _LINE_ENDS = frozenset("\n\r\x0b\x0c\x85\u2028\u2029")
 _CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}]")
@@ -147,34 +153,61 @@ def _closes(opener: str, c: str) -> bool:
     return c == '"' if opener == '"' else c in _ALSO.get(opener, _PAIRS.get(opener, ""))
 
 
+def _evidence(text: str) -> str | dict[str, int] | None:
+    """The language that the script of a text shows, else how much its words speak for each of Latin script; None for a
+    text without letters."""
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        counts = {name: len(of.findall(text)) for name, of in (("ar", _ARABIC), ("hi", _DEVANAGARI), ("th", _THAI), ("", _LATIN))}
+        main = max(counts, key=lambda name: counts[name])
+        if main:
+            return main
+    hits = dict.fromkeys(_FUNCTION, 0)
+    words = _WORD_AND_STOP.findall(text.lower())
+    for w, stop in words:
+        for name in _SPEAKS.get(w, ()):
+            hits[name] += 1
+        if stop and w in _SPEAKS_ALONE:
+            hits[_SPEAKS_ALONE[w]] += 2
+    return hits if words else None
+
+
+def _settled(evidence: str | dict[str, int] | None, marked: str | None) -> str | None:
+    if isinstance(evidence, str):
+        return evidence
+    if evidence is None:
+        return marked if marked in _ALWAYS else None
+    best = max(evidence, key=lambda name: (evidence[name], name == marked))
+    if marked in evidence and evidence[best] <= evidence[marked]:
+        return marked
+    return best if evidence[best] else marked if marked in evidence else None
+
+
 def language_of(text: str, lang: str | None) -> str | None:
     """The language whose abbreviations count: the marked one, unless the script or the words of the text speak against it."""
-    scripts = {name: len(of.findall(text)) for name, of in (("ar", _ARABIC), ("hi", _DEVANAGARI), ("th", _THAI), ("latin", _LATIN))}
-    main = max(scripts, key=lambda name: scripts[name])
-    if not scripts[main]:
-        return lang if lang in _ALWAYS else None
-    if main != "latin":
-        return main
-    words = _WORD_AND_STOP.findall(text.lower())
-    hits = {name: sum(w in known or 2 * (stop != "" and w in _OWN[name]) for w, stop in words) for name, known in _FUNCTION.items()}
-    best = max(hits, key=lambda name: (hits[name], name == lang))
-    if lang in hits and hits[best] <= hits[lang]:
-        return lang
-    return best if hits[best] else lang if lang in hits else None
+    return _settled(_evidence(text), lang)
 
 
 def by_line(text: str, lang: str | None) -> Callable[[int], str | None]:
-    """The language at a position: that of its line, as a note may hold lines in several; asked only where it matters."""
+    """The language at a position: that of its line, as a note may hold lines in several, and where a line does not tell,
+    that of the text; each is asked only where it matters."""
     whole: list[str | None] = []
     known: dict[int, str | None] = {}
     starts = [0, *(m.end() for m in _LINE_END.finditer(text))]
 
-    def at(position: int) -> str | None:
+    def of_line(line: int) -> str | None:
+        evidence = _evidence(text[starts[line] : starts[line + 1] if line + 1 < len(starts) else len(text)])
+        if isinstance(evidence, dict):
+            first, second, *_ = sorted(evidence.values(), reverse=True)
+            if first > second:
+                return max(evidence, key=lambda name: evidence[name])
         if not whole:
             whole.append(language_of(text, lang))
+        return _settled(evidence, whole[0])
+
+    def at(position: int) -> str | None:
         line = bisect_right(starts, position) - 1
         if line not in known:
-            known[line] = language_of(text[starts[line] : starts[line + 1] if line + 1 < len(starts) else len(text)], whole[0])
+            known[line] = of_line(line)
         return known[line]
 
     return at
@@ -288,20 +321,13 @@ def _cuts(
 
 def _back(text: str, since: int, at: int, of: regex.Pattern) -> int:
     """Where the run of characters of ``of`` begins that ends at ``at``."""
-    while at > since and of.match(text, at - 1, at):
-        at -= 1
-    return at
+    m = of.match(text, since, at)
+    return m.start() if m else at
 
 
 def _token_before(text: str, since: int, at: int) -> str:
     """The token between white space before ``at``, without the space in between."""
-    end = at
-    while end > since and text[end - 1].isspace():
-        end -= 1
-    begin = end
-    while begin > since and not text[begin - 1].isspace():
-        begin -= 1
-    return text[begin:end]
+    return _TOKEN_AND_SPACE.match(text, since, at)[1]
 
 
 def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lang_at: Callable[[int], str | None], truncations: frozenset[str], also: frozenset[str]) -> bool:
@@ -323,11 +349,12 @@ def _ends(text: str, term: str, at: int, end: int, since: int, quoted: bool, lan
         return c not in _CLOSES_ONLY
     if len(term) > 1 or "…" in term:
         return gap and not small or capital
-    lang = lang_at(at)
-    always, lower = _ALWAYS.get(lang, _NONE), _LOWER.get(lang, _NONE)
     begin = _back(text, since, at, _WORD)
     word = text[begin:at]
     low = word.lower()
+    # most words are an abbreviation in no language, so the language is not asked for
+    lang = lang_at(at) if low in _ANYWHERE or len(word) < 3 else None
+    always, lower = _ALWAYS.get(lang, _NONE), _LOWER.get(lang, _NONE)
     if not gap:
         return (
             capital and nxt + 1 < n and bool(_SMALL.match(text, nxt + 1)) and len(word) > 1 and "." not in word
