@@ -84,6 +84,8 @@ def _twins() -> dict[str, dict[int, str]]:
 
 
 _TWINS = _twins()
+_NOT_LATIN = regex.compile(r"(?V1)[\p{L}--\p{Script=Latin}]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 _TWINNED = regex.compile("[" + "".join(chr(c) for of in _TWINS.values() for c in of) + "]")
 _MAP = str.maketrans({**dict.fromkeys(HYPHENS, "-"), "µ": "μ", "Ω": "Ω", "K": "K", "Å": "Å"})
 
@@ -105,7 +107,8 @@ def readings(token: str, within: str | None = None) -> list[str]:
     """Readings of a token in one script, the dominant script first, the script ``within`` of its text last; only those
     that hold no other script. A token of one script has no reading but the one in the script of its text."""
     apart = unicodedata.normalize("NFD", token)
-    if _OTHER_LETTER.search(apart):
+    odd = _NOT_LATIN.search(apart) is not None
+    if odd and _OTHER_LETTER.search(apart) or not odd and not _FOREIGN.search(apart):
         return []
     counts = {name: len(_OF_SCRIPT[name].findall(apart)) for name in _SCRIPTS}
     present = sorted((name for name in _SCRIPTS if counts[name]), key=lambda name: (-counts[name], _SCRIPTS.index(name)))
@@ -125,6 +128,8 @@ def readings(token: str, within: str | None = None) -> list[str]:
 def dominant(text: str) -> str | None:
     """The script of most letters of a text, counted among letters without a twin in another script if there are any, as a
     text may hold more look-alikes than letters of its own; None if most letters have no twins at all."""
+    if text.isascii() or not _NOT_LATIN.search(text):
+        return "Latin" if _ANY_LETTER.search(text) else None
     sure = _TWINNED.sub("", text)
     counts = {name: len(of.findall(sure)) for name, of in _OF_SCRIPT.items()}
     if not any(counts.values()):
@@ -133,12 +138,12 @@ def dominant(text: str) -> str | None:
     return most if counts[most] and counts[most] >= len(_OTHER_LETTER.findall(text)) else None
 
 
-def suspects(text: str | None) -> list[tuple[str, list[str], bool]]:
+def suspects(text: str | None, main: str | None = None) -> list[tuple[str, list[str], bool]]:
     """(token, readings, mixed) of the tokens of a text that can be read in another way, each once; tokens of rare letters
-    of the text's own script count as mixed."""
-    if not text or text.isascii() or not _FOREIGN.search(unicodedata.normalize("NFD", text)):
+    of the text's own script count as mixed. ``main``: the dominant script of the text, if it is known."""
+    if not text or text.isascii() or not _FOREIGN.search(text) and not _FOREIGN.search(unicodedata.normalize("NFD", text)):
         return []
-    main = dominant(text)
+    main = main or dominant(text)
     found = {}
     for m in _TOKEN.finditer(text):
         token = m[0]
@@ -154,8 +159,8 @@ def suspects(text: str | None) -> list[tuple[str, list[str], bool]]:
 def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         plain = [plain_form(t) for t in texts]
-        yield pd.DataFrame({"plain": plain, "main": [dominant(p) if p else None for p in plain],
-                            "suspects": [[{"raw": a, "mixed": mixed, "readings": read} for a, read, mixed in suspects(p)] for p in plain]})
+        main = [dominant(p) if p else None for p in plain]
+        yield pd.DataFrame({"plain": plain, "main": main, "suspects": [[{"raw": a, "mixed": mixed, "readings": read} for a, read, mixed in suspects(p, m)] for p, m in zip(plain, main, strict=True)]})
 
 
 def _mend(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
