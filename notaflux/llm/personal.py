@@ -208,7 +208,7 @@ def disclosures(scanned: DataFrame) -> DataFrame:
     """(kind, term, occurrences, in_class, disclosure) of every term that stands where an entity of a class may stand."""
     count = F.count(F.lit(1))
     numbers = F.transform(F.regexp_extract_all("rest", F.lit(_NUMBERS), F.lit(1)), lambda n: F.regexp_replace(n, r"[^\p{N}]", ""))
-    around = scanned.select(F.explode(F.concat(F.regexp_extract_all("rest", F.lit(_WORDS), F.lit(1)), numbers)).alias("term")).groupBy("term").agg(count.alias("n"))
+    around = cut(scanned.select(F.explode(F.concat(F.regexp_extract_all("rest", F.lit(_WORDS), F.lit(1)), numbers)).alias("term")).groupBy("term").agg(count.alias("n")))  # read twice
     typed = scanned.select(F.explode("typed").alias("s")).select("s.kind", F.explode("s.terms").alias("term")).groupBy("kind", "term").agg(count.alias("in_class"))
     people = scanned.select(F.explode("chains").alias("c")).where("c.cue").groupBy(F.col("c.term").alias("term")).agg(count.alias("in_class"))
     classed = typed.unionByName(people.where(~F.col("term").isin(*_LINKS)).select(F.lit("person").alias("kind"), "term", "in_class"))
