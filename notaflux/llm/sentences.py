@@ -415,7 +415,8 @@ def sentences(notes: DataFrame, key: str = "note_id", text: str = "text", lang:
     of: Column = F.col(f"`{lang}`") if lang else F.lit(None).cast("string")
     full = notes.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"), of.alias("__lang"))
     spans = full.withColumn("__spans", split("__text", "__lang"))
-    return spans.select(key, "__text", F.posexplode("__spans").alias("sentence_no", "__s")).select(
+    # the outer form: from the plain one the optimizer infers a filter on the array, for which it runs the scan twice
+    return spans.select(key, "__text", F.posexplode_outer("__spans").alias("sentence_no", "__s")).where("sentence_no is not null").select(
         key, F.col("sentence_no").cast("bigint").alias("sentence_no"), F.col("__s.start_pos").alias("start_pos"), F.col("__s.end_pos").alias("end_pos"),
         F.substring(F.col("__text"), (F.col("__s.start_pos") + 1).cast("int"), (F.col("__s.end_pos") - F.col("__s.start_pos")).cast("int")).alias("sentence"),
     )

@@ -18,6 +18,11 @@ def test_note_filter_and_columns_reach_the_scan(spark):
     assert "EqualTo(note_name,evolucao_uti)" in p and "ReadSchema: struct<note_id:bigint,note_name:string,text:string,lang:string,received_at" in p
 
 
+def test_each_text_is_scanned_once(spark):
+    p = Q.p1_found(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("ArrowEvalPython") == p.count("Relation [")
+
+
 @pytest.mark.parametrize("name", ["p6_found", "p7_found", "p8_ids", "p10_found"])
 def test_no_product(spark, name):
     assert "CartesianProduct" not in plan(Q.queries()[name](spark, SMALL))
