@@ -165,7 +165,7 @@ def name_chains(text: str, typed: list[tuple[str, int, int]]) -> list[tuple[int,
             fits = capital or lower_name and v.lower() not in _STOP
             if fits and (gap.isspace() or gap.strip() == "." and len(run[-1][0]) == 1 and gap != "."):
                 run.append(words[j])
-            elif fits and cue and not inverted and gap.rstrip() == "," and gap != "," and len(run) <= 3 and (lower_name or capital):
+            elif fits and cue and not inverted and gap.rstrip() == "," and gap != "," and (lower_name or capital):
                 inverted = True
                 run.append(words[j])
             else:

@@ -85,3 +85,9 @@ def test_long_names_are_one_run(name):
     text = f"Atendida pela Sra. {name}, sem queixas."
     found = [c for c in P.name_chains(text, []) if c[5]]
     assert text[found[0][3] : found[-1][4]] == name and len({c[0] for c in found}) == 1
+
+
+def test_a_long_name_turned_round_is_one_run():
+    text = "Nome da mãe: Silva dos Santos de Souza Lima Ferreira, Ana. Fim"
+    found = [c for c in P.name_chains(text, []) if c[5]]
+    assert text[found[0][3] : found[-1][4]] == "Silva dos Santos de Souza Lima Ferreira, Ana"
