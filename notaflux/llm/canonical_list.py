@@ -10,9 +10,9 @@ taken.
 Remarks are learnt and not listed: a word that is in no entry and stands in values beside many different words of the
 list says nothing about which entry is meant.
 
-The index is asked for a value's rarest grams first, and only for as many as an entry at the threshold must share: entries
-that share none of them are below it by the Cauchy-Schwarz bound. So the long lists of common grams are not read to find
-candidates; the candidates' scores are then completed from the other grams, and are exact.
+The index is asked for a value's rarest grams first, and only for as many as an entry within the margin of the threshold
+must share: entries that share none of them are below that by the Cauchy-Schwarz bound. So the long lists of common grams
+are not read to find candidates; the candidates' scores are then completed from the other grams, and are exact.
 
 Defined results: null values and null groups are left out; a value that equals an entry letter for letter maps to it;
 an empty list gives no match for any value; entries of equal score and distance give no match, as nothing tells which.
@@ -81,7 +81,8 @@ def match_list(
 
     distinct = values.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("raw")).distinct()
     cleaned = cut(_cleaned(distinct, listed, remark_share, remark_least))
-    scored = _scores(cleaned.where("v <> ''").select("g", "v").distinct(), index, unseen, threshold)
+    # an entry within the margin of one at the threshold is a rival, so candidates are complete down to there
+    scored = _scores(cleaned.where("v <> ''").select("g", "v").distinct(), index, unseen, threshold - margin)
     top = F.max("score").over(W.partitionBy("g", "v"))
     near = scored.withColumn("top", top).where((F.col("top") >= threshold) & (F.col("score") > F.col("top") - margin))
     letters = lambda c: F.regexp_replace(c, " ", "")
@@ -102,22 +103,24 @@ def match_list(
 
 
 def _scores(plain: DataFrame, index: DataFrame, unseen: DataFrame, threshold: float) -> DataFrame:
-    """(g, v, id, name, score) of every entry that shares one of the rare grams of a value; of no other entry can the
-    cosine reach ``threshold``."""
+    """(g, v, id, name, score) of every entry whose cosine with a value is ``threshold`` or more; found through the rare
+    grams of the value, without one of which no entry can reach it."""
+    numbered = cut(plain.withColumn("no", F.monotonically_increasing_id()))  # what is shuffled carries numbers, not texts
     weights = index.select("g", "gram", "w2").distinct()
-    of_value = F.sum("w2").over(W.partitionBy("g", "v"))
-    so_far = F.sum("w2").over(W.partitionBy("g", "v").orderBy(F.desc("w2"), "gram").rowsBetween(W.unboundedPreceding, W.currentRow))
-    grammed = plain.select("g", "v", F.explode(grams(F.col("v"))).alias("gram")).join(weights, ["g", "gram"], "left").join(F.broadcast(unseen), "g")  # a row per group
+    of_value = F.sum("w2").over(W.partitionBy("no"))
+    so_far = F.sum("w2").over(W.partitionBy("no").orderBy(F.desc("w2"), "gram").rowsBetween(W.unboundedPreceding, W.currentRow))
+    grammed = numbered.select("no", "g", F.explode(grams(F.col("v"))).alias("gram")).join(weights, ["g", "gram"], "left").join(F.broadcast(unseen), "g")  # a row per group
     # what is left after the rare grams weighs less than threshold^2 of the whole: |rest| |entry| < threshold |value| |entry|
-    ranked = cut(grammed.withColumn("listed", F.col("w2").isNotNull()).withColumn("w2", F.coalesce("w2", "unseen")).withColumn("all", of_value).withColumn(
-        "rare", F.col("all") - so_far + F.col("w2") >= F.col("all") * threshold * threshold * (1 - 1e-9)).where("listed").select("g", "v", "gram", "w2", "all", "rare"))
-    found = ranked.where("rare").join(index, ["g", "gram", "w2"]).groupBy("g", "v", "id", "name", "norm", "all").agg(F.sum("w2").alias("dot"))
+    ranked = cut(grammed.select("no", "g", "gram", F.col("w2").isNotNull().alias("listed"), F.coalesce("w2", "unseen").alias("w2")).withColumn("all", of_value).withColumn(
+        "rare", F.col("all") - so_far + F.col("w2") >= F.col("all") * threshold * threshold * (1 - 1e-9)).where("listed").select("no", "g", "gram", "w2", "all", "rare"))
+    found = ranked.where("rare").join(index.select("g", "gram", "id", "norm"), ["g", "gram"]).groupBy("no", "id", "norm", "all").agg(F.sum("w2").alias("dot"))
     # an entry that cannot reach the threshold with all the rest of the value is left
-    rest = ranked.where("not rare").groupBy("g", "v").agg(F.sum("w2").alias("rest"))
+    rest = ranked.where("not rare").groupBy("no").agg(F.sum("w2").alias("rest"))
     whole = F.sqrt("all") * F.col("norm")
-    open_ = found.join(rest, ["g", "v"], "left").where((F.col("dot") + F.coalesce("rest", F.lit(0.0))) >= threshold * whole * (1 - 1e-9)).drop("rest")
-    more = ranked.where("not rare").select("g", "v", "gram").join(open_.select("g", "v", "id"), ["g", "v"]).join(index.select("g", "gram", "id", "w2"), ["g", "gram", "id"]).groupBy("g", "v", "id").agg(F.sum("w2").alias("more"))
-    return open_.join(more, ["g", "v", "id"], "left").select("g", "v", "id", "name", F.round((F.col("dot") + F.coalesce("more", F.lit(0.0))) / whole, 9).alias("score"))
+    open_ = found.join(rest, "no", "left").where((F.col("dot") + F.coalesce("rest", F.lit(0.0))) >= threshold * whole * (1 - 1e-9)).drop("rest")
+    more = ranked.where("not rare").select("no", "g", "gram").join(open_.select("no", "id"), "no").join(index.select("g", "gram", "id", "w2"), ["g", "gram", "id"]).groupBy("no", "id").agg(F.sum("w2").alias("more"))
+    scored = open_.join(more, ["no", "id"], "left").select("no", "id", F.round((F.col("dot") + F.coalesce("more", F.lit(0.0))) / whole, 9).alias("score")).where(F.col("score") >= threshold)
+    return scored.join(numbered, "no").join(index.select("g", "id", "name").distinct(), ["g", "id"]).select("g", "v", "id", "name", "score")
 
 
 def _index(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
